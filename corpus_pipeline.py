@@ -1,8 +1,64 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: quality filter, near-duplicate removal, redaction of personal data, packing into sequences.
 
-STAGES: list = []
+Each stage works on whole texts and on all that the one before kept. Rows with null ids or texts, repeated rows and empty
+tables pass through as the operators define.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxmill.llm import neardup, packing, pii, quality
+from voxmill.session import read_table, shared_dir
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier scores at its threshold or above; it learns from labels that aren't held out."""
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).where(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    Of rows that repeat an id one stays; rows with a null id stay.
+    """
+    kept = neardup.near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return named.union(docs.where("doc_id is null").select(*COLUMNS))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with each personal datum replaced by its kind in brackets; n_chars follows. A null text stays null."""
+    found = pii.add_spans(docs)
+    text = F.when(F.size("spans") > 0, pii.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    return found.withColumn("text", text).withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the tokenised texts with their places in sequences of at most 2048 ids; ``ids`` as 32-bit integers."""
+    import public_tokenizers
+
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(pieces)
+
+
+STAGES = [("quality classifier", quality_filter), ("MinHash near-dedup", near_dedup), ("PII", redact), ("best-fit packing", pack)]
+
+#: The classifier can't be expressed in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; each result is written to the shared folder and read again as the next one's input."""
+    docs = read_table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

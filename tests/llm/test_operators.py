@@ -1,0 +1,359 @@
+"""Operators 1, 2, 3, 5, 6, 7 and 8 against brute force."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from voxmill.llm import html, licenses, merkle, neardup, pii, quality, topk
+from voxmill.llm.queries import SQL
+
+SF = "/root/testdata/sf0.001"
+
+
+def by_sql(name, sf=SF):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    return con.execute(SQL[name]).fetchdf()
+
+
+def same_rows(df, want):
+    cols = sorted(want.columns)
+    assert sorted(df.columns) == cols
+    key = lambda r: tuple(repr(x) for x in r)
+    got = sorted(([tuple(r[c] for c in cols) for r in df.collect()]), key=key)
+    want = sorted((tuple(x.item() if hasattr(x, "item") else x for x in r) for r in want[cols].itertuples(index=False)), key=key)
+    assert got == want
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_queries_match_sql(spark, name):
+    from voxmill.llm.queries import QUERIES
+
+    same_rows(QUERIES[name](spark, SF), by_sql(name))
+
+
+# --- 1
+
+
+def brute_top(rows, k):
+    best, full = {}, {}
+    for i, v in rows:
+        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        full[i] = max(full.get(i, v), v)
+    ints = {i: [math.floor(256 * x) for x in v] for i, v in full.items()}
+    for q in ints:
+        if q % 50 == 0:
+            found = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))
+            best[q] = [(i, -s) for s, i in found[:k]]
+    return {(q, r + 1, i, max(-(2**63) + 1, min(2**63 - 1, s))) for q, x in best.items() for r, (i, s) in enumerate(x)}
+
+
+def test_op1_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 7)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    monkeypatch.setattr(topk, "SHARD", 20)
+    rng = random.Random(1)
+    rows = [(i, [rng.choice([-1.5, 0.25, 0.001, 3.0]) for _ in range(4)]) for i in range(0, 400, 5)]
+    rows += [(i, [1.0, 1.0, 1.0, 1.0]) for i in range(1000, 1060)] + [(50, [9.0, 9.0, 9.0, 9.0]), (50, None), (100, rows[20][1])]
+    rows += [(None, [1.0] * 4), (2000, [None, 1.0, 1.0, 1.0]), (2050, [float("nan")] * 4), (2100, [float("inf")] * 4), (2150, [1e30, 1e30, 0.0, 0.0]), (2200, []), (2250, [2.0] * 3), (2251, [1.0] * 3)]
+    df = spark.createDataFrame([(i, v, i, 5) for i, v in rows], "vec_id long, embedding array<double>, id long, rank int").repartition(5)
+    got = topk.top_k(df, F.col("id") % 50 == 0, 5).collect()
+    assert {(r.query_id, r["rank"], r.id, r.score) for r in got} == brute_top(rows, 5) and len(got) == len(brute_top(rows, 5))
+    assert topk.top_k(df.limit(0), F.col("id") % 50 == 0, 5).count() == 0
+
+
+# --- 2
+
+
+def py_fingerprint(text):
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    sections, held = [], []
+    lines = (text or "").split("\n")
+    for k, line in enumerate(lines):
+        leaves = re.split(r"(?<=[.!?] )(?=[^ ])", line)
+        held.append((sha("".join(map(sha, leaves))), [f"{sha(x)[:8]}:{len(x)}" for x in leaves]))
+        if line == "" or held[-1][0][0] in "0123" or k == len(lines) - 1:
+            sections.append((sha("".join(d for d, _ in held)), [x for _, xs in held for x in xs]))
+            held = []
+    return sha("".join(d for d, _ in sections)) + "/" + ";".join(d[:16] + "=" + ",".join(x) for d, x in sections)
+
+
+def py_likeness(a, b):
+    if a[:64] == b[:64]:
+        return 1.0
+    sets = [{x for s in f[65:].split(";") for x in s[17:].split(",")} for f in (a, b)]
+    w = lambda s: sum(int(x[9:]) for x in s)
+    return 2 * w(sets[0] & sets[1]) / (w(sets[0]) + w(sets[1])) if w(sets[0]) + w(sets[1]) else 0.0
+
+
+def check_op2(rows, docs):
+    docs = sorted(docs)
+    want = {}
+    for k, (i, t) in enumerate(docs):
+        t, after = t or "", docs[(k + 1) % len(docs)][1] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        f, e, n = map(py_fingerprint, (t, edited, after))
+        want[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), f, e, py_likeness(f, e), py_likeness(f, n))
+    got = {r.doc_id: (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in rows}
+    assert got.keys() == want.keys()
+    for i in want:
+        assert got[i][:4] == want[i][:4]
+        assert got[i][4:] == pytest.approx(want[i][4:])
+
+
+def test_op2_query(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    check_op2(merkle.op2_merkle_fingerprints(spark, SF).collect(), docs)
+
+
+def test_op2_odd_rows(spark, tmp_path):
+    texts = [None, "", "a", "One. Two.  Three!\n\nFour", "x\n" * 300, "🙂é. " * 9, "One. Two.  Three!\n\nFour", "w " * 20000, " ", "\n"]
+    for count in (1, 2, 10):
+        docs = [(i * 7 - 20, t) for i, t in enumerate(texts[:count])]
+        spark.createDataFrame([(i, t, "f", "r") for i, t in docs], "doc_id long, text string, fingerprint string, range string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        check_op2(merkle.op2_merkle_fingerprints(spark, str(tmp_path)).collect(), docs)
+    spark.createDataFrame([(None, "b"), (None, "a"), (3, "c"), (3, "c")], "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    rows = merkle.with_next_text(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()
+    assert sorted((r.text, r.next_text) for r in rows) == [("a", "b"), ("b", "c"), ("c", "a"), ("c", "c")]
+    spark.createDataFrame([], "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert merkle.op2_merkle_fingerprints(spark, str(tmp_path)).count() == 0
+
+
+def test_op2_branches_locate_edits(spark):
+    a = "\n".join(f"Line {i}. It goes on." for i in range(60))
+    b = a.replace("Line 30.", "Line thirty.")
+    df = merkle.add_fingerprints(spark.createDataFrame([(a, b)], "a string, b string"), {"fa": "a", "fb": "b"})
+    r = df.select(merkle.differing_sections(F.col("fa"), F.col("fb")).alias("d"), F.size(F.split("fa", ";")).alias("n")).first()
+    assert 1 <= len(r.d) <= 2 < r.n
+
+
+# --- 3
+
+
+def page(body):
+    return f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a='</p>';</script></head><body>{body}</body></html>"
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        (None, ""), ("", ""), ("just text", "just text"), ("<nav>a b</nav>", ""),
+        (page("<nav><ul><li><a href='/x'>Home</a></li></ul></nav><div class=ad>Buy now</div><article><h1>Head</h1><p><b>One &amp; two<br><p>Th<i>r</i>ee\n\t four&nbsp;.</p></article><footer>&copy; x</footer>"), "Head One & two Three four ."),
+        (page("<header>Top</header><article><p>Short.</p><form><input><p>Mail?</p></form><aside>Side</aside><p>End.</p><section id=comments><p>First!</p></section></article>"), "Short. End."),
+        (page("<div class='cookie-notice'>We use cookies</div><div id=content><p>" + "Long words here. " * 20 + "</p><p>And more of it, surely.</p></div><div class='sidebar'>x</div>"), ("Long words here. " * 20).strip() + " And more of it, surely."),
+        (page("<article><p>A &lt;b&gt; &#233; &#x1F642; &bogus; &amp</p></article>"), "A <b> é 🙂 &bogus; &"),
+        ("<article><p>never closed <b>at all", "never closed at all"),
+        (page("<article><header><h1>Own head</h1></header><p>Text</p></article>"), "Own head Text"),
+    ],
+)
+def test_op3_pages(source, want):
+    assert html.main_text(source) == want
+
+
+def test_op3_query_whole_article(spark):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    rows = html.op3_html_extraction(spark, SF).collect()
+    assert len(rows) == len(pages)
+    import html as std
+
+    for r in rows:
+        inner = re.search(r"<article>(.*?)(?:</article>|\Z)", pages[r.page_id].html, re.S)[1]
+        plain = std.unescape(re.sub(r"<[^>]*>", "\n", inner.replace("<b>", "")))
+        assert r.text == " ".join(plain.split()) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
+    odd = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>a</p>", "y"), (1, None, None, "x")], "page_id long, url string, html string, text string")
+    assert sorted((r.page_id or 0, r.text) for r in html.extract(odd).collect()) == [(0, "a"), (1, ""), (1, "")]
+    assert html.extract(odd.limit(0)).count() == 0
+
+
+# --- 5
+
+
+def auc(scores, labels):
+    order = np.argsort(scores)
+    ranks = np.empty(len(scores))
+    ranks[order] = np.arange(len(scores))
+    pos = labels == 1
+    return (ranks[pos].mean() - (pos.sum() - 1) / 2) / (~pos).sum()
+
+
+def test_op5_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in quality.op5_quality_classifier(spark, sf).collect()}
+    assert len(got) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
+    rows = [(got[r.doc_id].score, r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if got[r.doc_id].held_out]
+    scores, labels = np.array([x[0] for x in rows]), np.array([x[1] for x in rows])
+    assert auc(scores, labels) > 0.97 and ((scores >= 0.3) == labels).mean() > 0.95
+
+
+def test_op5_pairs_identity():
+    rng = np.random.default_rng(0)
+    model = quality.Machine(0.3, rng.normal(size=quality.SLOTS), rng.normal(size=(quality.SLOTS, quality.FACTORS)))
+    rows = [quality.features(t) for t in ("a b c a", None, "UPPER! | x\nx\nx", "é " * 5000)]
+    for got, (slots, values) in zip(model.scores(rows), rows):
+        pairs = sum(values[i] * values[j] * (model.factors[slots[i]] @ model.factors[slots[j]]) for i in range(len(slots)) for j in range(i))
+        assert got == pytest.approx(1 / (1 + np.exp(-np.clip(0.3 + model.linear[slots] @ values + pairs, -40, 40))))
+
+
+def test_op5_odd_rows(spark):
+    docs = spark.createDataFrame([(1, None, "k"), (2, "", "k"), (None, "x y", "k"), (2, "", "k"), (3, "good words here", "k")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(1, 1), (2, None), (None, 0), (3, 0), (3, 1)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    rows = quality.score(docs, model).collect()
+    assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)
+    assert quality.score(docs.limit(0), quality.fit(docs.limit(0), labels.limit(0))).count() == 0
+
+
+# --- 6
+
+
+def brute_groups(rows, words, percent=80):
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set()
+
+    sets = [shingles(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                up[root(i)] = root(j)
+    low = {}
+    for i, (k, _) in enumerate(rows):
+        low[root(i)] = min(low.get(root(i), k), k)
+    return {k: (len(sets[i]), low[root(i)]) for i, (k, _) in enumerate(rows)}
+
+
+def near_copies(count, seed=4):
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(400)]
+    out = []
+    for _ in range(count):
+        if out and rng.random() < 0.7:
+            w = list(rng.choice(out[-25:]))
+            for _ in range(rng.randrange(0, max(2, len(w) // 6))):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+        else:
+            w = [rng.choice(vocab) for _ in range(rng.choice([1, 2, 3, 20, 60, 150]))]
+        out.append(w)
+    return [" ".join(w) for w in out]
+
+
+@pytest.mark.parametrize("words", [2, 5])
+def test_op6_against_all_pairs(spark, monkeypatch, words):
+    monkeypatch.setattr(neardup, "PIVOTS", 2)
+    monkeypatch.setattr(neardup, "TILE", 7)
+    texts = near_copies(400) + ["", None, " \t", "Same WORDS", "same words", "x" * 40, "a b", "b a", "Ä b", "ä b", "a\x0bb\x0cc", "a b c"]
+    rng = random.Random(9)
+    base = [f"u{i}" for i in range(120)]
+    for _ in range(60):  # one group whose members aren't all linked with each other
+        w = list(base)
+        for _ in range(rng.randrange(0, 14)):
+            w[rng.randrange(120)] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    rows = [(i * 3 - 50, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(i, t, "z", 1) for i, t in rows], "doc_id long, text string, grp string, n_shingles int").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, words=words).collect()}
+    assert got == brute_groups(rows, words)
+
+
+def test_op6_odd_rows(spark):
+    df = spark.createDataFrame([(5, "a b c"), (5, "a b c"), (None, "a b c"), (2, "a b c"), (9, None), (5, "q r s")], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.component_id) for r in neardup.near_duplicates(df, words=2).collect()), key=str)
+    assert got == [(0, None), (2, 2), (5, 2), (5, 2), (5, 2), (9, 9)]
+    assert neardup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_op6_hashes():
+    assert len(neardup.shingle_set("a b a b", 2)) == 2 and len(neardup.shingle_set("one", 2)) == 1 and len(neardup.shingle_set(" \n", 2)) == 0
+    assert set(neardup.shingle_set("A b C", 2)) == set(neardup.shingle_set(" a\tB\x0cc ", 2))
+    long = " ".join(str(i) for i in range(400_000))
+    assert len(neardup.shingle_set(long, 2)) == 399_999
+
+
+# --- 7
+
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def py_luhn(digits):
+    return sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for kind, pattern in PLAIN.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = kind == "email" or kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")) or kind == "card" and 16 <= len(digits) <= 19 and py_luhn(digits) or kind == "phone" and 8 <= len(digits) <= 15
+            if ok:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def odd_pii():
+    rng = random.Random(8)
+    parts = ["a", "Z", ".", "@", "-", "_", " ", "1", "4", "25", "255", "256", "0", "+", "(", ")", "é", "🙂", "a@b.c", "1.2.3.4", "+1 (017) 555-7713", "4111 1111 1111 1111", "4111111111111111", "\n", ", "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(1500)]
+    return texts + [None, "", "a@b.c_d@e.f", "x" * 50_000, "1" * 50_000, "1 " * 30_000, "a." * 20_000 + "@", "+1" + " " * 20_000, "00000000001.2.3.4 99999999999999.1.1.1", "a@b.c" * 2000]
+
+
+def test_op7_base_spans(spark):
+    texts = odd_pii()
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, spans string").repartition(4)
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans if s.kind in PLAIN] for r in pii.add_spans(df).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == base_spans(t), t
+    assert pii.add_spans(df.limit(0)).count() == 0
+
+
+def test_op7_added_spans_and_scores(spark):
+    text = "Konto GB82 WEST 1234 5698 7654 32 or DE89370400440532013000; not GB83 WEST 1234 5698 7654 32. SSN 123-45-6789. Mail me at a.b@c.de"
+    r = pii.add_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(s.kind, text[s.start : s.end]) for s in r.spans] == [("email", "a.b@c.de"), ("iban", "GB82 WEST 1234 5698 7654 32"), ("iban", "DE89370400440532013000"), ("ssn", "123-45-6789")]
+    assert r.spans[0].score == 1.0
+    none = pii.add_spans(spark.createDataFrame([(1, "code 123-45-6789 here")], "doc_id long, text string")).first()
+    assert none.spans == []
+
+
+def test_op7_redaction(spark):
+    text = "é a@b.cc, +1 (017) 555-7713 4111 1111 1111 1111."
+    df = pii.add_spans(spark.createDataFrame([(text,), ("",), ("clean",)], "text string"))
+    out = df.select(pii.redacted(F.col("text"), F.col("spans")).alias("t")).collect()[0].t
+    assert "@" not in out and "4111" not in out and out.startswith("é [EMAIL], [")
+
+
+def test_op7_query(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in pii.op7_pii(spark, SF).collect():
+        want = base_spans(docs[r.doc_id])
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and r.spans.startswith(joined)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[0] == k for x in want) for k in PLAIN]
+
+
+# --- 8
+
+
+def test_op8_rules(spark):
+    texts = ["All rights reserved.", None, "", "Released under the MIT License.\nx. Licensed under CC BY-NC 4.0.", "no licence", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.",
+             "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at: http", "All rights reserved. All rights reserved"]
+    df = spark.createDataFrame([(i, t, "q") for i, t in enumerate(texts)], "doc_id long, text string, licenses string")
+    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in licenses.scan(df).collect()}
+    assert got == {0: (["RESERVED"], ["proprietary"]), 1: ([], []), 2: ([], []), 3: (["MIT-NOTE", "CCBYNC4-NOTE"], ["MIT", "CC-BY-NC-4.0"]), 4: ([], []), 5: (["AS-IS"], []), 6: (["APACHE2-NOTE", "APACHE2-USE", "APACHE2-COPY"], ["Apache-2.0"]), 7: (["RESERVED", "RESERVED"], ["proprietary", "proprietary"])}
+    assert licenses.scan(df.limit(0)).count() == 0

@@ -41,7 +41,6 @@ def test_chunks_join_to_the_whole(name):
 
 def test_cache_starts_anew(monkeypatch):
     monkeypatch.setattr("voxmill.llm.tokens.CACHED_CHUNKS", 5)
-    monkeypatch.setattr("voxmill.llm.tokens.BATCH_CHARS", 10)
     texts = mixed(200, 2)
     got = [np.frombuffer(x, "<u4").tolist() for x in ChunkEncoder(P.path("byte_bpe_50k.json")).encode(texts)]
     assert got == reference("byte_bpe_50k.json", texts)

@@ -1,6 +1,6 @@
 """Exact, cached encoding with a ``tokenizers`` file.
 
-A text is cut at blanks where no pre-token can span the cut, and every distinct chunk is encoded once per worker. The
+A text is cut at blanks where no pre-token can span the cut, and every distinct chunk is encoded once per worker; the
 ids of the whole text are the joined ids of its chunks, so the result equals ``encode_batch`` on the whole text.
 """
 
@@ -8,23 +8,60 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks that a worker keeps; beyond it the cache starts anew (about 200 bytes each).
-CACHED_CHUNKS = 400_000
-#: Bytes of text that are encoded together.
-BATCH_CHARS = 2_000_000
+#: Chunks that a worker keeps, about 200 bytes each. A full cache takes no more; it starts anew after four times as many
+#: misses, so it follows a change of language.
+CACHED_CHUNKS = 1_000_000
 
-_UNSAFE = re.compile(r"\s\s|^\s|\s\Z")
+#: Characters whose classes are beyond doubt: Latin letters, digits, signs other than the apostrophe, single line ends
+#: within. A chunk of these is split as the library's patterns would.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_SIGNS = r"!-&(-/:-@\[-`{-~"
+_PLAIN = re.compile(rf" ?[{_LETTERS}0-9{_SIGNS}]+(?:\n[{_LETTERS}0-9{_SIGNS}]+)*")
+_WORD = re.compile(rf"[{_LETTERS}]+")
+_LEADING = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+| ?[{_SIGNS}]+|\n")
+_DROPPED = re.compile(rf"[{_LETTERS}]+|[0-9]|[{_SIGNS}]+")
+
+
+def _byte_chars() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: itself, or the next from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [x for x in range(256) if x not in shown]
+    return {x: chr(x) for x in shown} | {x: chr(256 + k) for k, x in enumerate(rest)}
+
+
+_BYTE_CHARS = _byte_chars()
+_POINTS = {",", "."}
 _SAFE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 
 
+class _Chunks(dict):
+    """Ids by chunk, made on first sight; None for a chunk whose ids depend on its neighbours."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.misses = make, 0
+
+    def __missing__(self, chunk: str) -> bytes | None:
+        out = self.make(chunk)
+        if len(self) < CACHED_CHUNKS:
+            self[chunk] = out
+        else:
+            self.misses += 1
+            if self.misses > 4 * CACHED_CHUNKS:
+                self.clear()
+                self.misses = 0
+        return out
+
+
 class ChunkEncoder:
     """Whole texts to the little-endian unsigned 32-bit ids that the library gives them, without special tokens.
 
@@ -39,61 +76,81 @@ class ChunkEncoder:
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
         pre, norm = parts.get("pre_tokenizer") or {}, parts.get("normalizer")
-        drops = [x for x in pre.get("pretokenizers", []) if x["type"] == "Split" and x["behavior"] == "Removed" and x["invert"] and r"[^\s" in str(x["pattern"])]
+        drops = [x for x in pre.get("pretokenizers", []) if x["type"] == "Split" and x["behavior"] == "Removed" and x["invert"] and r"[^\s" in x["pattern"].get("Regex", "")]
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
             self.rule = "blank leads"  # a pre-token may begin with one blank
         elif drops and parts["model"].get("end_of_word_suffix"):
             self.rule = "blanks drop"  # white space is in no pre-token
         else:
             self.rule = "whole"
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _split(self, text: str) -> list[str]:
-        if self.rule == "blank leads" and _UNSAFE.search(text):
-            return _SAFE_BLANK.split(text)
-        return text.split(" ")
-
-    def _learn(self, cache: dict[str, bytes], missing: set[str], prefix: str) -> None:
-        new = list(missing)
-        cache.update(zip(new, self._encode([prefix + x for x in new]), strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+        self._tokenize = self.tokenizer.model.tokenize
+        self.signs: dict[str, bytes] = {}
+        self.later = _Chunks(self._dropped if self.rule == "blanks drop" else self._later)
+
+    def _whole(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _model(self, words: Iterable[str]) -> bytes:
+        """Ids of pre-tokens of plain characters, straight from the library's model."""
+        return b"".join(map(self._word, words))
+
+    def _word(self, word: str) -> bytes:
+        known = self.signs.get(word)
+        if known is None:
+            known = _packed([t.id for t in self._tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))])
+            if len(word) < 5 and len(self.signs) < 10_000:
+                self.signs[word] = known
+        return known
+
+    def _later(self, chunk: str) -> bytes | None:
+        """Ids of a chunk after a blank, with that blank."""
+        if chunk.isascii() and chunk.isalpha():
+            return _packed([t.id for t in self._tokenize("\u0120" + chunk)])
+        if chunk[-1:] in _POINTS and chunk[-2:-1].isalpha():  # a sign after a letter is a pre-token of its own
+            before = self.later[chunk[:-1]]
+            return before and before + self._word(chunk[-1])
+        if _WORD.fullmatch(chunk):
+            return self._word(" " + chunk)
+        if _PLAIN.fullmatch(chunk):
+            return self._model(_LEADING.findall(" " + chunk))
+        return None if not chunk or chunk[0].isspace() or chunk[-1].isspace() else self._whole(" " + chunk)
+
+    def _dropped(self, chunk: str) -> bytes:
+        """Ids of a chunk where blanks are in no pre-token."""
+        lower = chunk.lower()
+        if lower.isascii() and lower.isalpha():
+            return _packed([t.id for t in self._tokenize(lower)])
+        if chunk[-1:] in _POINTS and chunk[-2:-1].isalpha():
+            return self.later[chunk[:-1]] + self.later[chunk[-1]]
+        if _PLAIN.fullmatch(chunk) and _PLAIN.fullmatch(lower):
+            return self._model(_DROPPED.findall(lower))
+        return self._whole(chunk) if chunk else b""
+
+    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """A null text counts as empty."""
-        texts = [x or "" for x in texts]
         if self.rule == "whole":
-            return self._encode(texts)
-        out: list[bytes] = []
-        group: list[list[str]] = []
-        chars = 0
-        for text in texts:
-            group.append(self._split(text))
-            chars += len(text)
-            if chars > BATCH_CHARS:
-                out += self._group(group)
-                group, chars = [], 0
-        return out + self._group(group)
-
-    def _group(self, group: list[list[str]]) -> list[bytes]:
-        if len(self.first) + len(self.later) > CACHED_CHUNKS:
-            self.first, self.later = {}, {}
+            return [self._whole(x or "") for x in texts]
+        get = self.later.__getitem__
         if self.rule == "blanks drop":
-            missing: set[str] = set()
-            for parts in group:
-                missing.update(set(parts) - self.later.keys())
-            self._learn(self.later, missing, "")
-            get = self.later.__getitem__
-            return [b"".join(map(get, parts)) for parts in group]
-        missing = set()
-        for parts in group:
-            missing.update(set(parts[1:]) - self.later.keys())
-        self._learn(self.later, missing, " ")
-        self._learn(self.first, {x[0] for x in group} - self.first.keys(), "")
-        first, get = self.first, self.later.__getitem__
-        return [first[x[0]] + b"".join(map(get, x[1:])) for x in group]
+            return [b"".join(map(get, (x or "").split(" "))) for x in texts]
+        out = []
+        for text in texts:
+            parts = (text or "").split(" ")
+            try:
+                if len(parts) > 1 and not parts[0][-1:].strip():
+                    raise TypeError
+                out.append(self._whole(parts[0]) + b"".join(map(get, parts[1:])))
+            except TypeError:  # white space beside a blank
+                parts = _SAFE_BLANK.split(text)
+                out.append(self._whole(parts[0]) + b"".join([get(x) or self._whole(" " + x) for x in parts[1:]]))
+        return out
+
+
+def _packed(ids: list[int]) -> bytes:
+    made = array("I", ids)
+    if sys.byteorder != "little":
+        made.byteswap()
+    return made.tobytes()
 
 
 @lru_cache(maxsize=4)

@@ -52,9 +52,10 @@ def brute_top(rows, k):
     ints = {i: [math.floor(256 * x) for x in v] for i, v in full.items()}
     for q in ints:
         if q % 50 == 0:
-            found = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))
+            most = 2**63 - 1
+            found = sorted((-max(-most, min(most, sum(a * b for a, b in zip(ints[q], v)))), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))
             best[q] = [(i, -s) for s, i in found[:k]]
-    return {(q, r + 1, i, max(-(2**63) + 1, min(2**63 - 1, s))) for q, x in best.items() for r, (i, s) in enumerate(x)}
+    return {(q, r + 1, i, s) for q, x in best.items() for r, (i, s) in enumerate(x)}
 
 
 def test_op1_odd_rows(spark, monkeypatch):
@@ -275,7 +276,7 @@ def test_op6_against_all_pairs(spark, monkeypatch, words):
 def test_op6_odd_rows(spark):
     df = spark.createDataFrame([(5, "a b c"), (5, "a b c"), (None, "a b c"), (2, "a b c"), (9, None), (5, "q r s")], "doc_id long, text string")
     got = sorted(((r.doc_id or 0, r.component_id) for r in neardup.near_duplicates(df, words=2).collect()), key=str)
-    assert got == [(0, None), (2, 2), (5, 2), (5, 2), (5, 2), (9, 9)]
+    assert got == [(0, None), (2, 2), (5, 2), (5, 2), (5, 5), (9, 9)]
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -332,10 +333,10 @@ def test_op7_added_spans_and_scores(spark):
 
 
 def test_op7_redaction(spark):
-    text = "é a@b.cc, +1 (017) 555-7713 4111 1111 1111 1111."
+    text = "é a@b.cc, +1 (017) 555-7713; 4111 1111 1111 1111."
     df = pii.add_spans(spark.createDataFrame([(text,), ("",), ("clean",)], "text string"))
     out = df.select(pii.redacted(F.col("text"), F.col("spans")).alias("t")).collect()[0].t
-    assert "@" not in out and "4111" not in out and out.startswith("é [EMAIL], [")
+    assert out == "é [EMAIL], [PHONE]; [CARD]."
 
 
 def test_op7_query(spark):

@@ -96,14 +96,14 @@ def _sql() -> str:
     for i, (chain, name) in enumerate(RULES):
         chain = " ".join(f"<{x}>" for x in chain.split())
         steps.append(f"r{i + 1} AS (SELECT *, replace(s{i}, '{chain}', '') AS s{i + 1}, (length(s{i}) - length(replace(s{i}, '{chain}', ''))) // {len(chain)} AS t{i} FROM r{i})")
-        out.append(f"list_transform(range(t{i}), x -> '{name}')")
+        out.append(f"list_transform(range(t{i}), lambda x: '{name}')")
     return f"""
 WITH known(sentence, id) AS (VALUES {known}),
 lines AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?:;])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)) AS xs FROM documents),
 parts AS (SELECT doc_id, unnest(xs) AS x, generate_subscripts(xs, 1) AS k FROM lines),
 plain AS (SELECT doc_id, k, regexp_replace(regexp_replace(lower(x), '[^a-z0-9.]+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g') AS s FROM parts),
 found AS (SELECT doc_id, list(id ORDER BY k) AS ids FROM plain JOIN known ON s = sentence GROUP BY doc_id),
-r0 AS (SELECT d.doc_id, coalesce(ids, []) AS ids, ' ' || array_to_string(list_transform(coalesce(ids, []), x -> '<' || x || '>'), ' ') || ' ' AS s0 FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id),
+r0 AS (SELECT d.doc_id, coalesce(ids, []) AS ids, ' ' || array_to_string(list_transform(coalesce(ids, []), lambda x: '<' || x || '>'), ' ') || ' ' AS s0 FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id),
 {", ".join(steps)}
 SELECT doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
   array_to_string(list_concat({", ".join(out)}), ',') AS licenses FROM r{len(RULES)}

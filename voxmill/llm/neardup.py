@@ -206,8 +206,9 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = PERCENT, id_co
     """``(doc_id, n_shingles, component_id)`` of every row: component_id is the smallest doc_id reachable over links.
 
     Documents with the same set are linked. Without words or with a null text a document is linked with nothing.
-    Repeated rows stay, with one class; rows with a null doc_id stay alone, with a null class, and name no class. Other
-    columns are left out. No bucket, partner or candidate is capped.
+    Repeated rows stay, with one class; rows that repeat an id with other texts are classed by their own texts, and sets
+    of which one id is the first are one class; rows with a null doc_id have a null class and name none. Other columns
+    are left out. No bucket, partner or candidate is capped.
     """
     own = id_and_text(df, id_col, text_col)
     sketch = cut(_sketch(own, words))
@@ -292,7 +293,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), s AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws
-    ELSE list_distinct(list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1])) END AS xs FROM w
+    ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS xs FROM w
 ), n AS (SELECT doc_id, xs, len(xs)::BIGINT AS n FROM s),
 x AS (SELECT doc_id, n, unnest(xs) AS x FROM n),
 p AS (

@@ -1,12 +1,614 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL.
+
+``events`` serves as a voxel grid: x = event_id mod 20, y = (event_id div 20) mod 25, z = event_id div 500; labels come
+from user_id, types from event_type, grey values from value in hundredths. ``lineitem`` gives contingency tables and
+replicas, ``embeddings`` tiles of 8 by 8. Doubles are rounded alike on both sides.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from voxmill.functions import expressions as X
+from voxmill.operators import agglomerate as A
+from voxmill.operators import graph, grid, kernels, labels, learned, metrics, skeleton
+from voxmill.operators import neighbours as N
+from voxmill.session import read_table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+SIZE = (20, 25, 1 << 20)
+
+#: Numbers of the event types.
+TYPES = ["view", "signup", "click", "error", "purchase"]
+_TYPE_SQL = "CASE event_type " + " ".join(f"WHEN '{t}' THEN {k}" for k, t in enumerate(TYPES)) + " END"
+_G = f"""g AS (SELECT event_id AS idx, event_id % 20 AS x, (event_id // 20) % 25 AS y, event_id // 500 AS z, user_id % 12 AS label,
+  user_id, CAST({_TYPE_SQL} AS INTEGER) AS type, CAST(round(value * 100) AS BIGINT) AS v FROM events)"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def voxels(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.element_at(F.create_map(*[F.lit(v) for k, t in enumerate(TYPES) for v in (t, k)]), F.col("event_type"))
+    e = read_table(spark, sf, "events")
+    return e.select(F.col("event_id").alias("idx"), (F.col("event_id") % 20).alias("x"), (F.expr("event_id div 20") % 25).alias("y"), F.expr("event_id div 500").alias("z"), (F.col("user_id") % 12).alias("label"), "user_id", kind.alias("type"), F.round(F.col("value") * 100).cast("long").alias("v"))
+
+
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Two labellings of the same rows."""
+    return read_table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("truth"), (F.col("l_partkey") % 50).alias("proposed"))
+
+
+_P = "p AS (SELECT l_suppkey AS truth, l_partkey % 50 AS proposed FROM lineitem)"
+_T = f"{_P}, t AS (SELECT truth, proposed, count(*) AS n FROM p GROUP BY 1, 2)"
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# --- labels
+
+
+@query(f"WITH {_G} SELECT user_id AS label, count(*) AS n_vox FROM g GROUP BY 1")
+def label_sizes(spark, sf):
+    return labels.label_sizes(voxels(spark, sf).drop("label").withColumnRenamed("user_id", "label"))
+
+
+_SCRUB = """, s AS (SELECT user_id AS old, count(*) AS n FROM g WHERE user_id <> 0 GROUP BY 1 HAVING {}),
+m AS (SELECT old, row_number() OVER (ORDER BY old) AS new FROM s)
+SELECT idx, coalesce(new, 0)::BIGINT AS label FROM g LEFT JOIN m ON user_id = old"""
+
+
+def _sized(spark, sf, size):
+    vox = voxels(spark, sf).select("idx", F.col("user_id").alias("label"))
+    return labels.size_filter(vox, size)
+
+
+@query(f"WITH {_G}{_SCRUB.format('count(*) >= 60')}")
+def min_size_scrub(spark, sf):
+    return _sized(spark, sf, 60)
+
+
+@query(f"WITH {_G}{_SCRUB.format('count(*) < 60')}")
+def max_size_keep(spark, sf):
+    return _sized(spark, sf, -60)
+
+
+@query(f"WITH {_G}, m AS (SELECT old, row_number() OVER (ORDER BY old) AS new FROM (SELECT DISTINCT user_id * 3 AS old FROM g WHERE user_id <> 0)) SELECT idx, coalesce(new, 0)::BIGINT AS label FROM g LEFT JOIN m ON user_id * 3 = old")
+def sequential_relabel(spark, sf):
+    return labels.sequential_relabel(voxels(spark, sf).select("idx", (F.col("user_id") * 3).alias("label")))
+
+
+@query(f"WITH {_G} SELECT type, count(*) AS n FROM g GROUP BY 1")
+def type_counts(spark, sf):
+    return labels.type_counts(voxels(spark, sf))
+
+
+@query(f"WITH {_G}, c AS (SELECT user_id AS label, type, count(*) AS n FROM g GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, type DESC) AS k FROM c WHERE type < 4) SELECT l.label, coalesce(r.type, 3)::INTEGER AS major_type FROM (SELECT DISTINCT label FROM c) l LEFT JOIN r ON l.label = r.label AND k = 1")
+def majority_type(spark, sf):
+    return labels.majority_type(voxels(spark, sf).drop("label").withColumnRenamed("user_id", "label"), 4)
+
+
+@query(f"WITH {_G}, c AS (SELECT user_id, type, count(*) AS n FROM g WHERE user_id <> 0 GROUP BY 1, 2), r AS (SELECT user_id, type, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, type DESC) AS k FROM c), m AS (SELECT user_id AS old, row_number() OVER (ORDER BY type, user_id) AS new FROM r WHERE k = 1) SELECT idx, coalesce(new, 0)::BIGINT AS label FROM g LEFT JOIN m ON g.user_id = old")
+def reorder_by_type(spark, sf):
+    return labels.reorder_by_type(voxels(spark, sf).select("idx", F.col("user_id").alias("label"), "type"), 5).select("idx", "label")
+
+
+@query(f"WITH {_T} SELECT truth, proposed, n FROM t")
+def contingency(spark, sf):
+    return metrics.contingency(pairs(spark, sf), "truth", "proposed")
+
+
+@query(f"WITH {_T}, r AS (SELECT *, row_number() OVER (PARTITION BY truth ORDER BY n DESC, proposed) AS k FROM t WHERE truth <> 0 AND proposed <> 0) SELECT truth, proposed AS best, n FROM r WHERE k = 1")
+def overlap_argmax(spark, sf):
+    return labels.best_overlap(pairs(spark, sf), "truth", "proposed")
+
+
+@query(f"WITH {_T}, a AS (SELECT truth, sum(n) AS na, sum(CASE WHEN proposed = 0 THEN n ELSE 0 END) AS nb FROM t WHERE truth <> 0 GROUP BY 1), b AS (SELECT proposed, sum(n) AS np FROM t WHERE proposed <> 0 GROUP BY 1) SELECT t.truth, t.proposed, n, round(n / na, 6) AS of_a, round(n / np, 6) AS of_b, round(nb / na, 6) AS a_in_background FROM t JOIN a ON t.truth = a.truth JOIN b ON t.proposed = b.proposed")
+def overlap_percent(spark, sf):
+    return rounded(labels.overlap_percent(pairs(spark, sf), "truth", "proposed"))
+
+
+@query(f"WITH {_G} SELECT user_id AS label, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z, count(*) AS n_vox FROM g GROUP BY 1")
+def bounding_boxes(spark, sf):
+    return labels.bounding_boxes(voxels(spark, sf).drop("label").withColumnRenamed("user_id", "label"))
+
+
+@query("SELECT l_suppkey, round(sum(l_quantity * l_tax) / CASE WHEN sum(l_quantity) = 0 THEN 1 ELSE sum(l_quantity) END, 6) AS mean, min(l_tax) AS low, max(l_tax) AS high, round(stddev_pop(l_tax), 6) AS std FROM lineitem GROUP BY 1")
+def merge_replicas(spark, sf):
+    return rounded(labels.merge_replicas(read_table(spark, sf, "lineitem"), ["l_suppkey"], F.col("l_tax"), F.col("l_quantity")))
+
+
+@query("WITH r AS (SELECT l_suppkey, l_linenumber, l_discount AS value, (l_linenumber % 2)::DOUBLE AS w FROM lineitem) SELECT l_suppkey, l_linenumber, round(sum(w * value) / CASE WHEN sum(w) = 0 THEN 1 ELSE sum(w) END, 6) AS mean, min(value) AS low, max(value) AS high, round(stddev_pop(value), 6) AS std FROM r GROUP BY 1, 2")
+def merge_affinities(spark, sf):
+    rows = read_table(spark, sf, "lineitem").withColumn("w", (F.col("l_linenumber") % 2).cast("double"))
+    return rounded(labels.merge_replicas(rows, ["l_suppkey", "l_linenumber"], F.col("l_discount"), F.col("w")))
+
+
+@query("SELECT l_suppkey, l_partkey, round((l_quantity - (SELECT avg(l_quantity) FROM lineitem)) / (SELECT stddev_pop(l_quantity) FROM lineitem), 5) AS l_quantity, round((l_tax - (SELECT avg(l_tax) FROM lineitem)) / (SELECT stddev_pop(l_tax) FROM lineitem), 5) AS l_tax FROM lineitem")
+def zscore_features(spark, sf):
+    rows = read_table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_quantity", "l_tax")
+    return rounded(labels.zscored(rows, ["l_quantity", "l_tax"]), 5)
+
+
+@query(f"WITH {_G}, b AS (SELECT idx, v, v // 5000 AS bin FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY v, idx) AS k FROM b) SELECT idx, v, bin, k::INTEGER AS rank FROM r WHERE k <= 5")
+def bin_bottom_n(spark, sf):
+    return labels.lowest_per_bin(voxels(spark, sf).select("idx", "v"), "v", 0, 5000, 5, [F.col("v"), F.col("idx")])
+
+
+@query(f"WITH {_G} SELECT v // 1000 AS bin, count(*) AS n FROM g GROUP BY 1")
+def histogram(spark, sf):
+    return labels.histogram(voxels(spark, sf), "v", 0, 1000)
+
+
+@query(f"WITH {_G} SELECT type, count(*) AS n, round(count(*) / (SELECT count(*) FROM g), 6) AS prior FROM g GROUP BY 1")
+def class_priors(spark, sf):
+    return rounded(labels.class_priors(voxels(spark, sf), "type"))
+
+
+@query(f"WITH {_G} SELECT idx, CASE WHEN type = 0 THEN 0 ELSE label END AS label FROM g")
+def background_mask(spark, sf):
+    return labels.replace_background(voxels(spark, sf).withColumn("label", F.col("label"))).select("idx", F.col("label").cast("long").alias("label"))
+
+
+@query(f"WITH {_G} SELECT idx, user_id = (SELECT max(user_id) FROM g) AS is_ecs FROM g")
+def select_ecs(spark, sf):
+    return labels.select_ecs(voxels(spark, sf).select("idx", F.col("user_id").alias("label")), -1).select("idx", "is_ecs")
+
+
+@query(f"WITH {_G} SELECT z, count(DISTINCT user_id) AS n_labels FROM g GROUP BY 1")
+def unique_labels(spark, sf):
+    return voxels(spark, sf).groupBy("z").agg(F.countDistinct("user_id").alias("n_labels"))
+
+
+# --- expressions
+
+_PROBS = "q AS (SELECT l_orderkey, l_partkey, l_discount AS a, l_tax AS b, round(1 - l_discount - l_tax, 2) / 8 AS c FROM lineitem)"
+
+
+def probs(spark, sf):
+    c = (F.round(1 - F.col("l_discount") - F.col("l_tax"), 2) / 8).alias("c")
+    return read_table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", F.col("l_discount").alias("a"), F.col("l_tax").alias("b"), c)
+
+
+@query(f"WITH {_PROBS} SELECT l_orderkey, l_partkey, CASE WHEN a = greatest(a, b, c) THEN 0 WHEN b = greatest(a, b, c) THEN 1 ELSE 2 END AS class FROM q")
+def wta_class(spark, sf):
+    return probs(spark, sf).select("l_orderkey", "l_partkey", X.winner([F.col(k) for k in "abc"]).alias("class"))
+
+
+@query(f"WITH {_PROBS}, w AS (SELECT *, CASE WHEN a = greatest(a, b, c) THEN 0 WHEN b = greatest(a, b, c) THEN 1 ELSE 2 END AS k FROM q) SELECT l_orderkey, l_partkey, round(CASE WHEN k = 0 THEN a ELSE 0 END, 6) AS a, round(CASE WHEN k = 1 THEN b ELSE 0 END, 6) AS b, round(CASE WHEN k = 2 THEN c ELSE 0 END, 6) AS c FROM w")
+def winner_only(spark, sf):
+    kept = X.only_winner([F.col(k) for k in "abc"])
+    return rounded(probs(spark, sf).select("l_orderkey", "l_partkey", *[x.alias(k) for x, k in zip(kept, "abc", strict=True)]))
+
+
+@query(f"WITH {_PROBS} SELECT l_orderkey, l_partkey, round(greatest(0.0, 1 - (a + b)), 6) AS bg, a > 0.05 AS above FROM q")
+def synthetic_background(spark, sf):
+    return rounded(probs(spark, sf).select("l_orderkey", "l_partkey", X.background([F.col("a"), F.col("b")]).alias("bg"), X.above(F.col("a"), 0.05).alias("above")))
+
+
+@query("SELECT l_orderkey, l_partkey, round(1 / (1 + exp(-(l_quantity / 10 - 2))), 6) AS p FROM lineitem")
+def sigmoid(spark, sf):
+    return rounded(read_table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", X.sigmoid(F.col("l_quantity") / 10 - 2).alias("p")))
+
+
+@query(f"WITH {_PROBS}, w AS (SELECT l_orderkey, l_partkey, a * (0.2 / 0.5) AS a, b * (0.5 / 0.25) AS b, c * (0.3 / 0.25) AS c FROM q) SELECT l_orderkey, l_partkey, round(CASE WHEN a + b + c > 0 THEN a / (a + b + c) ELSE 0 END, 6) AS a, round(CASE WHEN a + b + c > 0 THEN b / (a + b + c) ELSE 0 END, 6) AS b, round(CASE WHEN a + b + c > 0 THEN c / (a + b + c) ELSE 0 END, 6) AS c FROM w")
+def prior_reweight(spark, sf):
+    made = X.reweighted([F.col(k) for k in "abc"], [0.5, 0.25, 0.25], [0.2, 0.5, 0.3])
+    return rounded(probs(spark, sf).select("l_orderkey", "l_partkey", *[x.alias(k) for x, k in zip(made, "abc", strict=True)]))
+
+
+@query(f"WITH {_PROBS} SELECT l_orderkey, l_partkey, round((a / (1 - a) * (0.2 / 0.8 / (0.5 / 0.5))) / (1 + a / (1 - a) * (0.2 / 0.8 / (0.5 / 0.5))), 6) AS p FROM q")
+def prior_odds(spark, sf):
+    return rounded(probs(spark, sf).select("l_orderkey", "l_partkey", X.reweighted_odds(F.col("a"), 0.5, 0.2).alias("p")))
+
+
+@query("SELECT l_orderkey, l_partkey, (l_quantity > 25)::INT + (l_tax > 0.04)::INT + (l_discount > 0.05)::INT >= 2 AS odd, (l_quantity > 25)::INT + (l_tax > 0.04)::INT >= 1 AS even FROM lineitem")
+def consensus_vote(spark, sf):
+    q, t, d = F.col("l_quantity") > 25, F.col("l_tax") > 0.04, F.col("l_discount") > 0.05
+    return read_table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", X.consensus([q, t, d]).alias("odd"), X.consensus([q, t], True).alias("even"))
+
+
+@query(f"WITH {_G} SELECT idx, CASE WHEN user_id = 0 THEN 0 ELSE (user_id - 1) % 7 + 1 END AS colour, CASE WHEN user_id = 5 THEN 1 ELSE 0 END AS eq, round(log10(1 + v), 6) AS log_size, round(atan2(sqrt((y - z) * (y - z) + (z - x) * (z - x) + (x - y) * (x - y)), x + y + z), 6) AS angle FROM g")
+def export_expressions(spark, sf):
+    c = [F.col(a).cast("double") for a in "xyz"]
+    return rounded(voxels(spark, sf).select("idx", X.colour(F.col("user_id"), 7).cast("long").alias("colour"), F.when(F.col("user_id") == 5, 1).otherwise(0).alias("eq"), F.log10(1 + F.col("v")).alias("log_size"), X.angle(c, [F.lit(1.0)] * 3).alias("angle")))
+
+
+# --- metrics
+
+_RAND = """, s AS (SELECT CAST((SELECT sum(n * n) FROM {t}) AS DOUBLE) AS tt, CAST((SELECT sum(n * n) FROM (SELECT sum(n) AS n FROM {t} GROUP BY truth)) AS DOUBLE) AS pp, CAST((SELECT sum(n * n) FROM (SELECT sum(n) AS n FROM {t} GROUP BY proposed)) AS DOUBLE) AS qq, CAST((SELECT sum(n) FROM {t}) AS DOUBLE) AS n), u AS (SELECT tt - n AS t, pp - n AS p, qq - n AS q, n FROM s)"""
+
+
+@query(f"WITH {_T}{_RAND.format(t='t')} SELECT round(t / q, 6) AS precision, round(t / p, 6) AS recall, round(1 - 2 * (t / q) * (t / p) / (t / q + t / p), 6) AS are, round((n * (n - 1) - p - q + 2 * t) / (n * (n - 1)), 6) AS rand_index, round((t - p * q / (n * (n - 1))) / ((p + q) / 2 - p * q / (n * (n - 1))), 6) AS adjusted_rand FROM u")
+def adapted_rand(spark, sf):
+    return rounded(metrics.rand_metrics(metrics.contingency(pairs(spark, sf), "truth", "proposed")))
+
+
+@query(f"WITH {_T}, r AS (SELECT truth, sum(n) AS rn FROM t GROUP BY 1), c AS (SELECT proposed, sum(n) AS cn FROM t GROUP BY 1), w AS (SELECT n, rn, cn, n / (SELECT sum(n) FROM t) AS f FROM t JOIN r ON t.truth = r.truth JOIN c ON t.proposed = c.proposed) SELECT round(-sum(f * ln(n / cn)), 6) AS merge_entropy, round(-sum(f * ln(n / rn)), 6) AS split_entropy, round(-sum(f * ln(n / cn)) - sum(f * ln(n / rn)), 6) AS variation FROM w")
+def variation_of_information(spark, sf):
+    return rounded(metrics.variation_of_information(metrics.contingency(pairs(spark, sf), "truth", "proposed")))
+
+
+@query("WITH w AS (SELECT l_returnflag, count(*) FILTER (WHERE l_tax > 0.04 AND l_discount > 0.05) AS tp, count(*) FILTER (WHERE NOT l_tax > 0.04 AND l_discount > 0.05) AS fp, count(*) FILTER (WHERE l_tax > 0.04 AND NOT l_discount > 0.05) AS fn, count(*) FILTER (WHERE NOT l_tax > 0.04 AND NOT l_discount > 0.05) AS tn FROM lineitem GROUP BY 1) SELECT l_returnflag, tp, fp, fn, tn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f_score, round((fp + fn) / (tp + fp + fn + tn), 6) AS error, round(fp / (fp + tn), 6) AS fpr FROM w")
+def pixel_fscore(spark, sf):
+    return rounded(metrics.pixel_scores(read_table(spark, sf, "lineitem"), F.col("l_tax") > 0.04, F.col("l_discount") > 0.05, "l_returnflag"))
+
+
+@query(f"WITH {_P} SELECT round(avg((truth % 10 <> proposed % 10)::INT), 6) AS error FROM p")
+def categorisation_error(spark, sf):
+    rows = pairs(spark, sf).select((F.col("truth") % 10).alias("a"), (F.col("proposed") % 10).alias("b"))
+    return rounded(metrics.categorisation_error(rows, "a", "b"))
+
+
+@query(f"WITH {_PROBS}, w AS (SELECT CAST(l_partkey % 3 AS INT) AS t, a + 0.01 AS a, b + 0.01 AS b, c + 0.01 AS c FROM q) SELECT round(avg((CASE WHEN a = greatest(a, b, c) THEN 0 WHEN b = greatest(a, b, c) THEN 1 ELSE 2 END <> t)::INT), 6) AS error, round(avg(-ln(CASE t WHEN 0 THEN a WHEN 1 THEN b ELSE c END)), 6) AS cross_entropy FROM w")
+def classification_cost(spark, sf):
+    rows = probs(spark, sf).select((F.col("l_partkey") % 3).cast("int").alias("t"), *[(F.col(k) + 0.01).alias(k) for k in "abc"])
+    return rounded(metrics.classification_cost(rows, "t", ["a", "b", "c"]))
+
+
+@query(f"WITH {_T} SELECT (SELECT sum(k - 1) FROM (SELECT count(*) AS k FROM t WHERE truth <> 0 AND proposed <> 0 GROUP BY truth))::BIGINT AS splits, (SELECT sum(k - 1) FROM (SELECT count(*) AS k FROM t WHERE truth <> 0 AND proposed <> 0 GROUP BY proposed))::BIGINT AS merges")
+def split_merge_counts(spark, sf):
+    return metrics.split_merge_counts(metrics.contingency(pairs(spark, sf), "truth", "proposed"))
+
+
+_BOOT = f"""WITH {_T}, d AS (SELECT t.*, r.replicate FROM t, (SELECT unnest(range(20))::INTEGER AS replicate) r WHERE ((truth * 7919 + replicate * 104729 + 12345) * 31 % 1000003) % 1000 < 500),
+c AS (SELECT replicate, sum(n * n)::DOUBLE - sum(n) AS t, sum(n)::DOUBLE AS n FROM d GROUP BY 1),
+pw AS (SELECT replicate, sum(n * n)::DOUBLE - sum(n) AS p FROM (SELECT replicate, truth, sum(n) AS n FROM d GROUP BY 1, 2) GROUP BY 1),
+qw AS (SELECT replicate, sum(n * n)::DOUBLE - sum(n) AS q FROM (SELECT replicate, proposed, sum(n) AS n FROM d GROUP BY 1, 2) GROUP BY 1),
+e AS (SELECT replicate, 1 - 2 * (t / q) * (t / p) / (t / q + t / p) AS are FROM c JOIN pw USING (replicate) JOIN qw USING (replicate))"""
+
+
+@query(f"{_BOOT} SELECT round(avg(are), 6) AS mean, round(quantile_cont(are, 0.05), 6) AS low, round(quantile_cont(are, 0.95), 6) AS high FROM e")
+def bootstrap_ci(spark, sf):
+    return rounded(metrics.confidence(metrics.bootstrap(metrics.contingency(pairs(spark, sf), "truth", "proposed"), 20)))
+
+
+# --- addressing
+
+
+@query("""WITH i AS (SELECT a::INTEGER AS ix, b::INTEGER AS iy, c::INTEGER AS iz FROM range(3) x(a), range(2) y(b), range(4) z(c))
+SELECT ix, iy, iz, (2 + 2 * ix)::INTEGER AS chunk_x, (4 * iy)::INTEGER AS chunk_y, (1 + iz)::INTEGER AS chunk_z,
+  CASE WHEN ix = 0 THEN 0 ELSE -16 END AS offset_x, CASE WHEN iy = 0 THEN 0 ELSE -16 END AS offset_y, CASE WHEN iz = 0 THEN 0 ELSE -8 END AS offset_z,
+  256 + CASE WHEN ix = 0 THEN 0 ELSE 16 END + CASE WHEN ix = 2 THEN 0 ELSE 16 END AS size_x, 512 + CASE WHEN iy = 0 THEN 0 ELSE 16 END + CASE WHEN iy = 1 THEN 0 ELSE 16 END AS size_y, 128 + CASE WHEN iz = 0 THEN 0 ELSE 8 END + CASE WHEN iz = 3 THEN 0 ELSE 8 END AS size_z,
+  ix = 0 AS left_x, ix = 2 AS right_x, iy = 0 AS left_y, iy = 1 AS right_y, iz = 0 AS left_z, iz = 3 AS right_z FROM i""")
+def superchunks(spark, sf):
+    return grid.superchunks(spark, (2, 0, 1), (8, 8, 5), (2, 4, 1), overlap=(16, 16, 8))
+
+
+@query("SELECT n_nationkey, x::INTEGER AS ix, y::INTEGER AS iy, (10 * x + n_regionkey)::INTEGER AS begin_x, (20 * y)::INTEGER AS begin_y FROM nation, range(3) a(x), range(2) b(y)")
+def roi_split(spark, sf):
+    n = read_table(spark, sf, "nation").select("n_nationkey", F.lit(30).alias("size_x"), F.lit(40).alias("size_y"), F.lit(5).alias("size_z"), F.col("n_regionkey").alias("off_x"), F.lit(0).alias("off_y"), F.lit(0).alias("off_z"))
+    return grid.split_roi(n, (10, 20, 5)).select("n_nationkey", "ix", "iy", F.col("begin_x").cast("int").alias("begin_x"), F.col("begin_y").cast("int").alias("begin_y"))
+
+
+@query("""WITH r AS (SELECT n_nationkey, sum(n_regionkey + 1) OVER (ORDER BY n_nationkey) AS hi, n_regionkey + 1 AS w FROM nation), s AS (SELECT n_nationkey, hi - w AS lo, hi FROM r)
+SELECT s_suppkey, n_nationkey, ((s_suppkey % 60) - lo)::BIGINT AS place FROM supplier JOIN s ON s_suppkey % 60 >= lo AND s_suppkey % 60 < hi""")
+def chunk_addressing(spark, sf):
+    lists = read_table(spark, sf, "nation").select("n_nationkey", (F.col("n_regionkey") + 1).cast("long").alias("w"))
+    idx = read_table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 60).alias("idx"))
+    return grid.addressed(idx, grid.chunk_ranges(lists, "n_nationkey", "w")).select("s_suppkey", "n_nationkey", "place")
+
+
+@query(f"WITH {_G} SELECT x // 8 AS bx, y // 8 AS by_, count(*) AS n FROM (SELECT x, y, z FROM g) GROUP BY 1, 2")
+def block_counts(spark, sf):
+    rows = grid.with_halo(voxels(spark, sf), 8, 2).where("core")
+    return rows.groupBy(F.col("bx").cast("long").alias("bx"), F.col("by").cast("long").alias("by_")).agg(F.count("*").alias("n"))
+
+
+# --- neighbours
+
+_OFF = lambda steps: ", ".join(f"({a}, {b}, {c})" for a, b, c in steps)
+_FWD = f"o(dx, dy, dz) AS (VALUES {_OFF(N.offsets(26))})"
+_ADJ = f"""WITH {_G}, {_FWD}, s AS (SELECT x + dx AS x, y + dy AS y, z + dz AS z, label AS ln, v AS vn FROM g, o WHERE label <> 0),
+a AS (SELECT least(label, ln) AS a, greatest(label, ln) AS b, g.x, g.y, g.z, v, vn FROM g JOIN s ON g.x = s.x AND g.y = s.y AND g.z = s.z WHERE label <> 0 AND label <> ln)"""
+
+
+@query(f"{_ADJ} SELECT a, b, count(*) AS n_pairs FROM a GROUP BY 1, 2")
+def neighbour_rag(spark, sf):
+    return N.adjacency_graph(voxels(spark, sf))
+
+
+@query(f"{_ADJ}, e AS (SELECT a, b, count(*) AS n_pairs, avg((v + vn) / 2.0) AS mean_value, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM a GROUP BY 1, 2), n AS (SELECT label, count(*) AS n FROM g GROUP BY 1) SELECT a, b, n_pairs, round(mean_value, 4) AS mean_value, round(cx, 4) AS cx, round(cy, 4) AS cy, round(cz, 4) AS cz, least(i.n, j.n) AS n_small, greatest(i.n, j.n) AS n_large, round(log10(greatest(i.n, j.n) / least(i.n, j.n)), 4) AS log_ratio FROM e JOIN n i ON a = i.label JOIN n j ON b = j.label")
+def rag_features(spark, sf):
+    return rounded(A.edge_features(voxels(spark, sf)), 4)
+
+
+@query(f"WITH {_G}, o(dx, dy, dz) AS (VALUES {_OFF(N.CUT_STEPS)}), s AS (SELECT x - dx AS x, y - dy AS y, z - dz AS z, label AS ln FROM g, o WHERE label <> 0), h AS (SELECT DISTINCT g.idx FROM g JOIN s ON g.x = s.x AND g.y = s.y AND g.z = s.z WHERE label <> 0 AND label <> ln) SELECT idx, CASE WHEN idx IN (SELECT idx FROM h) THEN 0 ELSE label END AS label FROM g")
+def adjacency_removal(spark, sf):
+    return N.adjacency_removed(voxels(spark, sf)).select("idx", F.col("label").cast("long").alias("label"))
+
+
+@query(f"WITH {_G}, o(dx, dy, dz) AS (VALUES {_OFF(N.offsets(6))}), s AS (SELECT x - dx AS x, y - dy AS y, z - dz AS z, type AS tn FROM g, o WHERE type <> 0), h AS (SELECT DISTINCT g.idx FROM g JOIN s ON g.x = s.x AND g.y = s.y AND g.z = s.z WHERE type <> 0 AND type <> tn) SELECT idx, CASE WHEN idx IN (SELECT idx FROM h) THEN 0 ELSE type END AS type FROM g")
+def adjacency_removal_6(spark, sf):
+    return N.edges_removed_6(voxels(spark, sf).drop("label"), "type").select("idx", "type")
+
+
+@query(f"WITH {_G}, o(dx, dy, dz) AS (VALUES {_OFF(N.offsets(6, False))}), s AS (SELECT x, y, z, type AS label FROM g WHERE type = 3 UNION SELECT x + dx, y + dy, z + dz, type FROM g, o WHERE type = 3) SELECT s.x, s.y, s.z, s.label FROM s JOIN g ON g.x = s.x AND g.y = s.y AND g.z = s.z")
+def dilation(spark, sf):
+    vox = voxels(spark, sf).withColumn("label", F.when(F.col("type") == 3, F.col("type")).otherwise(0))
+    return N.dilated(vox.select("x", "y", "z", "label"))
+
+
+@query(f"WITH {_G} SELECT idx, coalesce((SELECT h.type = g.type AND g.type <> 0 FROM g h WHERE h.x = g.x + 1 AND h.y = g.y AND h.z = g.z), false)::INTEGER AS aff_x, coalesce((SELECT h.type = g.type AND g.type <> 0 FROM g h WHERE h.x = g.x AND h.y = g.y + 1 AND h.z = g.z), false)::INTEGER AS aff_y, coalesce((SELECT h.type = g.type AND g.type <> 0 FROM g h WHERE h.x = g.x AND h.y = g.y AND h.z = g.z + 1), false)::INTEGER AS aff_z FROM g")
+def affinity_targets(spark, sf):
+    return N.affinity_targets(voxels(spark, sf), "type").select("idx", "aff_x", "aff_y", "aff_z")
+
+
+@query(f"WITH {_G}, o(dx, dy, dz) AS (VALUES {_OFF(N.offsets(6, False))}), s AS (SELECT x + dx AS x, y + dy AS y, z + dz AS z, type AS tn FROM g, o WHERE type <> 0), h AS (SELECT DISTINCT g.idx FROM g JOIN s ON g.x = s.x AND g.y = s.y AND g.z = s.z WHERE type <> 0 AND type <> tn) SELECT idx, CASE WHEN type = 0 THEN 0 WHEN idx IN (SELECT idx FROM h) THEN 2 ELSE 1 END AS class FROM g")
+def class_map(spark, sf):
+    return N.border_class(voxels(spark, sf).drop("label"), "type").select("idx", "class")
+
+
+@query(f"WITH {_G} SELECT x // 2 AS x, y // 2 AS y, z // 2 AS z, v FROM g WHERE x % 2 = 0 AND y % 2 = 0 AND z % 2 = 0")
+def downsample_none(spark, sf):
+    return N.downsampled(voxels(spark, sf), 2, "none", "v")
+
+
+@query(f"WITH {_G} SELECT x // 2 AS x, y // 2 AS y, z // 2 AS z, CASE WHEN min(user_id) = 0 THEN 0 ELSE arg_min(user_id, idx) END AS user_id FROM g GROUP BY 1, 2, 3")
+def downsample_labels(spark, sf):
+    return N.downsampled(voxels(spark, sf), 2, "labels", "user_id").select("x", "y", "z", F.col("user_id").cast("long").alias("user_id"))
+
+
+@query(f"WITH {_G} SELECT x // 2 AS x, y // 2 AS y, z // 2 AS z, round(avg(v), 4) AS v FROM g GROUP BY 1, 2, 3")
+def downsample_mean(spark, sf):
+    return rounded(N.downsampled(voxels(spark, sf), 2, "mean", "v"), 4)
+
+
+@query(f"WITH {_G} SELECT x // 2 AS x, y // 2 AS y, z // 2 AS z, round(median(v), 4) AS v FROM g GROUP BY 1, 2, 3")
+def downsample_median(spark, sf):
+    return rounded(N.downsampled(voxels(spark, sf), 2, "median", "v"), 4)
+
+
+@query(f"WITH {_G} SELECT x * 2 + a AS x, y * 2 + b AS y, z * 2 + c AS z, v FROM g, range(2) i(a), range(2) j(b), range(2) k(c) WHERE z < 4")
+def upsample(spark, sf):
+    return N.upsampled(voxels(spark, sf).where("z < 4").select("x", "y", "z", "v"), 2)
+
+
+def tiles(spark, sf):
+    e = read_table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "f"))
+    return e.select("vec_id", F.expr("p div 8").alias("r"), (F.col("p") % 8).cast("long").alias("c"), F.floor(F.col("f").cast("double") * 1024).cast("long").alias("v"))
+
+
+_TILES = "e AS (SELECT vec_id, unnest(embedding) AS f, unnest(range(64)) AS p FROM embeddings), t AS (SELECT vec_id, p // 8 AS r, p % 8 AS c, CAST(floor(CAST(f AS DOUBLE) * 1024) AS BIGINT) AS v FROM e)"
+
+
+@query(f"WITH {_TILES} SELECT a.vec_id, a.r, a.c, sum(b.v)::BIGINT AS window_sum FROM t a JOIN t b ON a.vec_id = b.vec_id AND b.r BETWEEN a.r - 2 AND a.r AND b.c BETWEEN a.c - 2 AND a.c WHERE a.r >= 2 AND a.c >= 2 GROUP BY 1, 2, 3")
+def local_sum(spark, sf):
+    return N.window_sums(tiles(spark, sf), ["vec_id"], 3)
+
+
+@query(f"WITH {_TILES} SELECT vec_id, r // 2 AS r, c // 2 AS c, round(avg(v), 4) AS mean FROM t GROUP BY 1, 2, 3")
+def box_mean(spark, sf):
+    return rounded(N.block_means(tiles(spark, sf), ["vec_id"], 2), 4)
+
+
+@query(f"WITH {_TILES}, k AS (SELECT label % 2 AS kind, count(*) AS n FROM embeddings GROUP BY 1) SELECT CAST(kind AS INTEGER) AS kind, round(n / (SELECT sum(n) FROM k), 6) AS share, (SELECT round(avg(v), 4) FROM t JOIN embeddings USING (vec_id) WHERE label % 2 = kind) AS mean, (SELECT round(stddev_pop(v), 4) FROM t JOIN embeddings USING (vec_id) WHERE label % 2 = kind) AS std FROM k")
+def tile_summary(spark, sf):
+    kinds = read_table(spark, sf, "embeddings").select("vec_id", (F.col("label") % 2).alias("kind"))
+    shares = kinds.groupBy("kind").agg(F.count("*").alias("n"))
+    stats = tiles(spark, sf).join(kinds, "vec_id").groupBy("kind").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    total = shares.agg(F.sum("n").alias("total"))
+    return rounded(shares.join(stats, "kind").crossJoin(F.broadcast(total)).select("kind", F.round(F.col("n") / F.col("total"), 6).alias("share"), F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std")))
+
+
+@query(f"WITH {_G}, d AS (SELECT a.x, a.y, a.z, max(b.v) AS v FROM g a JOIN g b ON b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.z BETWEEN a.z - 1 AND a.z + 1 GROUP BY 1, 2, 3) SELECT a.x, a.y, a.z, min(b.v) AS v FROM d a JOIN d b ON b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.z BETWEEN a.z - 1 AND a.z + 1 WHERE a.z < 6 GROUP BY 1, 2, 3")
+def grey_closing(spark, sf):
+    return N.axis_closed(voxels(spark, sf).select("x", "y", "z", "v")).where("z < 6")
+
+
+@query(f"WITH {_G}, f AS (SELECT * FROM g WHERE type = 3), e AS (SELECT * FROM g WHERE type <> 3 AND z < 5), n AS (SELECT e.idx, f.user_id, (e.x - f.x) * (e.x - f.x) + (e.y - f.y) * (e.y - f.y) + 9 * (e.z - f.z) * (e.z - f.z) AS d FROM e JOIN f ON abs(e.x - f.x) <= 2 AND abs(e.y - f.y) <= 2 AND abs(e.z - f.z) <= 2), r AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY d, user_id) AS k FROM n) SELECT g.idx, (CASE WHEN g.type = 3 THEN g.user_id + 1 ELSE coalesce(r.user_id + 1, 0) END)::BIGINT AS label FROM g LEFT JOIN r ON g.idx = r.idx AND k = 1 WHERE g.z < 5")
+def nearest_fill(spark, sf):
+    vox = voxels(spark, sf).withColumn("label", F.when(F.col("type") == 3, F.col("user_id") + 1).otherwise(0))
+    return N.nearest_label(vox.select("idx", "x", "y", "z", "label"), 2, (1.0, 1.0, 3.0)).where("z < 5").select("idx", F.col("label").cast("long").alias("label"))
+
+
+@query(f"WITH {_G} SELECT idx, v FROM g WHERE x >= 3 AND x < 9 AND y >= 2 AND y < 20 AND z >= 1 AND z < 4")
+def box_read(spark, sf):
+    return voxels(spark, sf).where(N.box((3, 9), (2, 20), (1, 4))).select("idx", "v")
+
+
+# --- graphs
+
+_CC = """, r(node, other) AS (SELECT a, a FROM e UNION SELECT b, b FROM e UNION SELECT r.node, s.b FROM r JOIN (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) s ON r.other = s.a), c AS (SELECT node, min(other) AS component FROM r GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {_G}, o(dx, dy, dz) AS (VALUES {_OFF(N.offsets(6))}), e AS (SELECT g.idx AS a, h.idx AS b FROM g, o, g h WHERE h.x = g.x + dx AND h.y = g.y + dy AND h.z = g.z + dz AND g.type = h.type UNION ALL SELECT idx, idx FROM g){_CC} SELECT node AS idx, component FROM c")
+def components_6(spark, sf):
+    return A.voxel_components(voxels(spark, sf), "type", SIZE)
+
+
+@query(f"WITH RECURSIVE {_G}, o(dx, dy, dz) AS (VALUES {_OFF(N.offsets(18))}), f AS (SELECT * FROM g WHERE v > 18000), e AS (SELECT g.idx AS a, h.idx AS b FROM f g, o, f h WHERE h.x = g.x + dx AND h.y = g.y + dy AND h.z = g.z + dz UNION ALL SELECT idx, idx FROM f){_CC} SELECT node AS idx, component FROM c")
+def components_18(spark, sf):
+    vox = voxels(spark, sf).withColumn("on", F.when(X.above(F.col("v"), 18000), 1))
+    return A.voxel_components(vox, "on", SIZE, 18)
+
+
+@query(f"WITH RECURSIVE {_G}, w AS (SELECT idx AS a, idx + 1 AS b, v FROM g WHERE x < 19 UNION ALL SELECT idx, idx + 20, v * 7 % 30000 FROM g WHERE y < 24), e AS (SELECT a, b FROM w WHERE v > 9000 AND b <= (SELECT max(idx) FROM g)){_CC} SELECT node AS idx, component FROM c")
+def affinity_components(spark, sf):
+    g = voxels(spark, sf)
+    top = g.agg(F.max("idx").alias("top"))
+    w = g.where("x < 19").select(F.col("idx").alias("src"), (F.col("idx") + 1).alias("dst"), F.col("v").alias("weight"))
+    w = w.union(g.where("y < 24").select("idx", F.col("idx") + 20, F.col("v") * 7 % 30000))
+    return A.affinity_components(w.join(top, F.col("dst") <= F.col("top")), 9000)
+
+
+_EDGES = "w AS (SELECT l_suppkey AS a, 1000 + l_partkey % 400 AS b, count(*) AS n, round(avg(l_discount), 6) AS p FROM lineitem GROUP BY 1, 2)"
+
+
+def edges(spark, sf):
+    e = read_table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("a"), (1000 + F.col("l_partkey") % 400).alias("b"))
+    return e.agg(F.count("*").alias("n"), F.round(F.avg("l_discount"), 6).alias("p"))
+
+
+@query(f"WITH RECURSIVE {_EDGES}, e AS (SELECT a, b FROM w WHERE p > 0.0985){_CC} SELECT node AS old, component AS new FROM c")
+def agglomerate(spark, sf):
+    return A.agglomerated(edges(spark, sf), F.col("p") > 0.0985)
+
+
+def _levels(ts):
+    parts = []
+    for k, t in enumerate(ts):
+        parts.append(f"e{k} AS (SELECT a, b FROM w WHERE p > {t}), r{k}(node, other) AS (SELECT a, a FROM e{k} UNION SELECT b, b FROM e{k} UNION SELECT r{k}.node, s.b FROM r{k} JOIN (SELECT a, b FROM e{k} UNION ALL SELECT b, a FROM e{k}) s ON r{k}.other = s.a)")
+    return f"WITH RECURSIVE {_EDGES}, {', '.join(parts)} " + " UNION ALL ".join(f"SELECT {t}::DOUBLE AS threshold, node AS old, min(other) AS new FROM r{k} GROUP BY 2" for k, t in enumerate(ts))
+
+
+@query(_levels([0.0999, 0.0985, 0.098]))
+def threshold_agglomerate(spark, sf):
+    return A.threshold_agglomerate(edges(spark, sf), [0.098, 0.0985, 0.0999])
+
+
+@query(f"WITH {_EDGES}, m AS (SELECT *, p > 0.05 AS merge FROM w), k AS (SELECT least(CAST(floor(count(*) FILTER (WHERE merge) * 0.3) AS BIGINT), count(*) - 1) AS place FROM m), o AS (SELECT p, row_number() OVER (ORDER BY p DESC) - 1 AS i FROM m) SELECT a, b, n, p, merge FROM m WHERE merge AND p >= (SELECT p FROM o WHERE i = (SELECT place FROM k))")
+def merge_percent(spark, sf):
+    return A.merge_percent(edges(spark, sf).withColumn("merge", F.col("p") > 0.05), 0.3)
+
+
+@query(f"""WITH RECURSIVE {_G}, h AS (SELECT user_id * 3 + type % 2 AS f, user_id * 2 + (v // 9000) % 2 AS s FROM g),
+t AS (SELECT f, s, count(*) AS n FROM h WHERE f <> 0 AND s <> 0 GROUP BY 1, 2),
+x AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY n DESC, f) AS i, row_number() OVER (PARTITION BY f ORDER BY n DESC, s) AS j FROM t),
+e AS (SELECT s + 1099511627776 AS a, f AS b FROM x WHERE i = 1 UNION ALL SELECT f, s + 1099511627776 FROM x WHERE j = 1 UNION ALL SELECT f, f FROM h WHERE f <> 0 UNION ALL SELECT s + 1099511627776, s + 1099511627776 FROM h WHERE s <> 0){_CC}
+SELECT CASE WHEN node >= 1099511627776 THEN 2 ELSE 1 END AS volume, CASE WHEN node >= 1099511627776 THEN node - 1099511627776 ELSE node END AS old, component AS new FROM c""")
+def stitch(spark, sf):
+    g = voxels(spark, sf).select((F.col("user_id") * 3 + F.col("type") % 2).alias("first"), (F.col("user_id") * 2 + F.expr("v div 9000") % 2).alias("second"))
+    return A.stitched(g)
+
+
+@query(f"WITH {_G} SELECT DISTINCT a.label AS a, b.label AS b FROM g a JOIN g b ON a.x = b.x AND a.y = b.y AND b.z = a.z + 1 WHERE a.label <> 0 AND b.label <> 0")
+def slice_links(spark, sf):
+    return A.slice_links(voxels(spark, sf))
+
+
+@query(f"""WITH {_G}, c AS (SELECT label, user_id % 5 AS t, count(*) AS n FROM g WHERE label <> 0 AND user_id % 5 <> 0 GROUP BY 1, 2), b AS (SELECT label, t FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, t) AS k FROM c) WHERE k = 1)
+SELECT i.label AS a, j.label AS b, coalesce(p.t = q.t, false)::INTEGER AS target FROM (SELECT DISTINCT label FROM g WHERE label <> 0) i JOIN (SELECT DISTINCT label FROM g WHERE label <> 0) j ON i.label < j.label LEFT JOIN b p ON p.label = i.label LEFT JOIN b q ON q.label = j.label""")
+def merge_targets(spark, sf):
+    g = voxels(spark, sf).withColumn("truth", F.col("user_id") % 5)
+    ids = g.where("label <> 0").select("label").distinct()
+    every = ids.select(F.col("label").alias("a")).join(ids.select(F.col("label").alias("b")), F.col("a") < F.col("b"))  # eleven labels
+    return A.perfect_merge(g, every).select("a", "b", "target")
+
+
+# --- skeletons
+
+_SK = f"""{_G}, n AS (SELECT user_id % 40 AS tree, idx AS node, x, y, z, label FROM g WHERE idx % 3 = 0),
+k AS (SELECT tree, node AS src, lead(node) OVER (PARTITION BY tree ORDER BY node) AS dst FROM n),
+e AS (SELECT k.tree, src, dst, i.label AS src_label, j.label AS dst_label, sqrt((i.x - j.x) * (i.x - j.x) + (i.y - j.y) * (i.y - j.y) + 9 * (i.z - j.z) * (i.z - j.z)) AS length, i.label <> j.label AS split FROM k JOIN n i ON k.src = i.node JOIN n j ON k.dst = j.node)"""
+
+
+def skeletons(spark, sf):
+    g = voxels(spark, sf)
+    nodes = g.where("idx % 3 = 0").select((F.col("user_id") % 40).alias("tree"), F.col("idx").alias("node"), "x", "y", "z")
+    after = F.lead("node").over(Window.partitionBy("tree").orderBy("node"))
+    tree_edges = nodes.select("tree", F.col("node").alias("src"), after.alias("dst")).where("dst is not null")
+    placed = skeleton.node_labels(nodes, g)
+    return nodes, tree_edges, skeleton.labelled_edges(placed, tree_edges, (1.0, 1.0, 3.0))
+
+
+@query(f"""WITH {_SK}, f AS (SELECT tree % 4 AS grp, * FROM e), l AS (SELECT grp, tree, src_label AS label FROM f UNION ALL SELECT grp, tree, dst_label FROM f), m AS (SELECT grp, label FROM l GROUP BY 1, 2 HAVING count(DISTINCT tree) > 1),
+w AS (SELECT f.*, split OR (grp, src_label) IN (SELECT grp, label FROM m) OR (grp, dst_label) IN (SELECT grp, label FROM m) AS bad FROM f)
+SELECT grp, round(sum(CASE WHEN bad THEN 0 ELSE length END), 4) AS free_length, round(sum(length), 4) AS length, round(sum(CASE WHEN bad THEN 0 ELSE length END) / sum(length), 4) AS eftpl, count(*) FILTER (WHERE split) AS splits, count(*) FILTER (WHERE bad) AS errors FROM w GROUP BY 1""")
+def eftpl(spark, sf):
+    return rounded(skeleton.path_length(skeletons(spark, sf)[2].withColumn("grp", F.col("tree") % 4), "grp"), 4)
+
+
+@query(f"""WITH {_SK}, l AS (SELECT tree, src_label AS label FROM e UNION ALL SELECT tree, dst_label FROM e), s AS (SELECT label, tree FROM l WHERE label <> 0 GROUP BY 1, 2 HAVING count(*) >= 25), m AS (SELECT label FROM s GROUP BY 1 HAVING count(*) > 1),
+w AS (SELECT length, split OR src_label = 0 OR dst_label = 0 AS s, src_label IN (SELECT label FROM m) OR dst_label IN (SELECT label FROM m) AS m FROM e)
+SELECT round(sum(CASE WHEN s THEN 0 ELSE length END) / sum(length), 4) AS splits, round(sum(CASE WHEN m THEN 0 ELSE length END) / sum(length), 4) AS mergers, round(sum(CASE WHEN s OR m THEN 0 ELSE length END) / sum(length), 4) AS both, round(sum(length) / sum(length), 4) AS none FROM w""")
+def eftpl_rules(spark, sf):
+    return rounded(skeleton.path_length_classes(skeletons(spark, sf)[2], 25), 4)
+
+
+@query(f"WITH RECURSIVE {_SK.replace('e AS (', 'ee AS (')}, f AS (SELECT * FROM ee WHERE (src + dst) % 5 <> 0), e AS (SELECT src AS a, dst AS b FROM f){_CC} SELECT tree, count(*) AS edges, round(sum(length), 4) AS length FROM f JOIN c ON f.src = c.node GROUP BY tree, component")
+def free_paths(spark, sf):
+    rows = skeleton.free_paths(skeletons(spark, sf)[2], (F.col("src") + F.col("dst")) % 5 == 0)
+    return rounded(rows.drop("piece"), 4)
+
+
+@query(f"WITH {_SK}, i AS (SELECT * FROM n WHERE x >= 5 AND x < 15), k2 AS (SELECT k.* FROM k WHERE src IN (SELECT node FROM i) AND dst IN (SELECT node FROM i)) SELECT tree, node FROM i WHERE node IN (SELECT src FROM k2 UNION SELECT dst FROM k2)")
+def skeleton_crop(spark, sf):
+    nodes, tree_edges, _ = skeletons(spark, sf)
+    return skeleton.cropped(nodes, tree_edges, (5, 0, 0), (15, 1 << 30, 1 << 30))[0].select("tree", "node")
+
+
+@query(f"WITH {_SK}, q AS (SELECT k.tree, src, dst, i.z AS za, j.z AS zb, i.x AS xa, j.x AS xb, unnest(range(least(i.z, j.z), greatest(i.z, j.z) + 1)) AS z FROM k JOIN n i ON k.src = i.node JOIN n j ON k.dst = j.node) SELECT tree, src, dst, z, round(xa + CASE WHEN za = zb THEN 0.0 ELSE (z - za) / (zb - za) END * (xb - xa), 4) AS x FROM q")
+def skeleton_per_plane(spark, sf):
+    nodes, tree_edges, _ = skeletons(spark, sf)
+    return rounded(skeleton.per_plane(nodes, tree_edges).drop("y"), 4)
+
+
+@query(f"WITH {_SK}, s AS (SELECT * FROM n WHERE node % 90 = 0) SELECT s.tree, s.node, g.label, count(*) AS n_vox FROM s JOIN g ON (s.x - g.x) * (s.x - g.x) + (s.y - g.y) * (s.y - g.y) + (s.z - g.z) * (s.z - g.z) <= 9 WHERE g.label <> 0 GROUP BY 1, 2, 3")
+def near_nodes(spark, sf):
+    nodes = skeletons(spark, sf)[0].where("node % 90 = 0")  # seeds, a sample by design
+    return skeleton.near_nodes(nodes, voxels(spark, sf).select("x", "y", "z", "label"), 3, 4)
+
+
+@query(f"WITH {_SK}, b AS (SELECT a - 2 AS dx, b - 2 AS dy, c - 2 AS dz FROM range(5) i(a), range(5) j(b), range(5) k(c) WHERE (a - 2) * (a - 2) + (b - 2) * (b - 2) + (c - 2) * (c - 2) <= 4) SELECT x + dx AS x, y + dy AS y, z + dz AS z, min(tree) AS label FROM n, b GROUP BY 1, 2, 3")
+def rasterised_nodes(spark, sf):
+    return skeleton.rasterised(skeletons(spark, sf)[0], 2)
+
+
+# --- kernels and learning: rows only
+
+
+@query()
+def block_components(spark, sf):
+    return kernels.block_components(voxels(spark, sf).withColumn("label", F.col("type") + 1), 16).orderBy("z", "y", "x")
+
+
+@query()
+def kernel_nearest_fill(spark, sf):
+    vox = voxels(spark, sf).withColumn("label", F.when(F.col("type") == 3, F.col("user_id") + 1).otherwise(0))
+    return kernels.over_blocks(vox, kernels.nearest_fill, 16, 6)
+
+
+@query()
+def kernel_smooth(spark, sf):
+    return kernels.over_blocks(voxels(spark, sf), lambda c: kernels.gaussian(c, 1.0), 16, 4, "v", out="double")
+
+
+@query()
+def xcorr_tile(spark, sf):
+    import numpy as np
+    import pandas as pd
+
+    def best(batches):
+        template = np.outer(np.hanning(5), np.hanning(5))[1:-1, 1:-1] * 1024
+        for pdf in batches:
+            made = [kernels.normalised_correlation(np.asarray(v, float).reshape(8, 8), template) for v in pdf["embedding"]]
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "best": [round(float(m.max()), 6) for m in made], "at": [int(m.argmax()) for m in made]})
+
+    return read_table(spark, sf, "embeddings").select("vec_id", "embedding").mapInPandas(best, "vec_id long, best double, at long")
+
+
+def training_edges(spark, sf):
+    g = voxels(spark, sf).withColumn("label", F.col("user_id"))
+    return A.perfect_merge(g.withColumn("truth", F.col("user_id") % 5 + 1), A.edge_features(g, 6))
+
+
+@query()
+def train_eval_rf(spark, sf):
+    rows = training_edges(spark, sf)
+    fit, held = learned.leave_out(rows.withColumn("part", F.col("a") % 4), "part", [0])
+    return learned.diagnostics(learned.predicted(learned.fit(fit, learned.MergeConfig()), held), 0.5)
+
 
-QUERIES: dict = {}
-SQL: dict = {}
+@query()
+def train_eval_lr(spark, sf):
+    rows = training_edges(spark, sf)
+    fit, held = learned.leave_out(rows.withColumn("part", F.col("a") % 4), "part", [0])
+    return learned.diagnostics(learned.predicted(learned.fit(fit, learned.MergeConfig("lr")), held), 0.5)
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    return eftpl(spark, sf)

@@ -309,3 +309,11 @@ def test_iterated_merging(spark):
     config = learned.MergeConfig("lr", "small", iterations=2)
     out = learned.iterate(vox, features, learned.fit(target, config), config)
     assert out.count() == cube.size and out.select("label").distinct().count() < len(np.unique(cube))
+
+
+def test_block_adjacency_matches_the_voxel_join(spark):
+    cube = np.kron(np.random.default_rng(8).integers(0, 9, (3, 3, 3)), np.ones((3, 2, 3), int))
+    vox = volume(spark, cube)
+    want = {(r.a, r.b): r.n_pairs for r in N.adjacency_graph(vox).collect()}
+    got = {(r.a, r.b): r.n_pairs for r in kernels.block_adjacency(blocks.to_blocks(vox, "label", "uint16", 4), 4).collect()}
+    assert got == want

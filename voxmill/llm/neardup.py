@@ -244,11 +244,10 @@ def _confirmed(own: DataFrame, groups: DataFrame, words: int, percent: int) -> D
     placed = cut(groups.join(classes, "id", "left").select("id", "grp", F.coalesce("cls", "id").alias("cls")))
     # the largest class of a group needs no comparison within; each member outside it meets all members, tile by tile
     sizes = placed.groupBy("grp", "cls").agg(F.count("*").alias("n"))
-    # groups of which every member was a pivot are done
-    top = sizes.groupBy("grp").agg(F.max_by("cls", F.struct("n", "cls")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("k")).where(f"k > 1 and n > {PIVOTS}")
-    small = placed.join(top, "grp").where("cls <> top")
-    waiting = small.groupBy("grp").agg(F.count("*").alias("rows_left"))
-    plan = top.join(waiting, "grp").select("grp", "top", F.ceil(F.col("n") / TILE).cast("long").alias("tiles"), F.ceil(F.col("rows_left") / TILE).cast("long").alias("blocks"))
+    # groups of which every member was a pivot are done; all counts are pre-aggregated, so a large group is few rows
+    top = sizes.groupBy("grp").agg(F.max(F.struct("n", "cls")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("k")).where(f"k > 1 and n > {PIVOTS}")
+    tiles = lambda n: F.ceil(n / TILE).cast("long")
+    plan = top.select("grp", F.col("top.cls").alias("top"), tiles(F.col("n")).alias("tiles"), tiles(F.col("n") - F.col("top.n")).alias("blocks"))
     rows = sets.join(placed.select("id", "cls"), "id").join(plan, "grp")
     spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))

@@ -130,3 +130,30 @@ def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumns({f"{x}__leaves": leaves_of(F.col(x)) for x in (own, new, after)})
     near = lambda x: likeness(F.col(own), F.col(x), F.col(f"{own}__leaves"), F.col(f"{x}__leaves"))
     return rows.select("doc_id", "n_chars", "edited_sha256", own, new, near(new).alias("near_edited"), near(after).alias("near_next"))
+
+
+#: Lookarounds are replaced by marks, set twice as matches may share a character.
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, length(t) AS k, coalesce(lead(t) OVER (ORDER BY doc_id, t), first_value(t) OVER (ORDER BY doc_id, t)) AS after FROM d),
+x AS (SELECT doc_id, t, k, after, substring(t, 1, k - k // 2) || substring(after, 1, k // 2) AS edited FROM n),
+w AS (SELECT doc_id, 0 AS w, t FROM x UNION ALL SELECT doc_id, 1, edited FROM x UNION ALL SELECT doc_id, 2, after FROM x),
+l AS (SELECT doc_id, w, string_split(t, chr(10)) AS ps FROM w),
+p AS (SELECT doc_id, w, unnest(ps) AS p, generate_subscripts(ps, 1) AS i, len(ps) AS last FROM l),
+s AS (SELECT doc_id, w, i, last, p, string_split(regexp_replace(regexp_replace(p, '([.!?] )([^ ])', '\1' || chr(1) || '\2', 'g'), '([.!?] )([^ ' || chr(1) || '])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS ls FROM p),
+h AS (SELECT doc_id, w, i, last, p, sha256(array_to_string(list_transform(ls, lambda x: sha256(x)), '')) AS d, list_transform(ls, lambda x: substring(sha256(x), 1, 8) || ':' || length(x)) AS names FROM s),
+e AS (SELECT *, (p = '' OR substring(d, 1, 1) IN ('0', '1', '2', '3') OR i = last)::INT AS closes FROM h),
+g AS (SELECT *, coalesce(sum(closes) OVER (PARTITION BY doc_id, w ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sec FROM e),
+c AS (SELECT doc_id, w, sec, sha256(string_agg(d, '' ORDER BY i)) AS dig, string_agg(array_to_string(names, ','), ',' ORDER BY i) AS leaves FROM g GROUP BY 1, 2, 3),
+f AS (SELECT doc_id, w, sha256(string_agg(dig, '' ORDER BY sec)) || '/' || string_agg(substring(dig, 1, 16) || '=' || leaves, ';' ORDER BY sec) AS fp FROM c GROUP BY 1, 2),
+u AS (SELECT DISTINCT doc_id, w, unnest(names) AS leaf FROM h),
+z AS (SELECT doc_id, w, sum(CAST(substring(leaf, 10) AS BIGINT)) AS size FROM u GROUP BY 1, 2),
+m AS (SELECT a.doc_id, b.w, sum(CAST(substring(a.leaf, 10) AS BIGINT)) AS both FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.leaf = b.leaf WHERE a.w = 0 AND b.w > 0 GROUP BY 1, 2),
+q AS (SELECT x.doc_id, x.k, x.edited, f0.fp AS a, f1.fp AS b,
+  CASE WHEN substring(f0.fp, 1, 64) = substring(f1.fp, 1, 64) THEN 1.0 WHEN z0.size + z1.size = 0 THEN 0.0 ELSE 2.0::DOUBLE * coalesce(m1.both, 0) / (z0.size + z1.size) END AS near_edited,
+  CASE WHEN substring(f0.fp, 1, 64) = substring(f2.fp, 1, 64) THEN 1.0 WHEN z0.size + z2.size = 0 THEN 0.0 ELSE 2.0::DOUBLE * coalesce(m2.both, 0) / (z0.size + z2.size) END AS near_next
+  FROM x JOIN f f0 ON f0.doc_id = x.doc_id AND f0.w = 0 JOIN f f1 ON f1.doc_id = x.doc_id AND f1.w = 1 JOIN f f2 ON f2.doc_id = x.doc_id AND f2.w = 2
+  JOIN z z0 ON z0.doc_id = x.doc_id AND z0.w = 0 JOIN z z1 ON z1.doc_id = x.doc_id AND z1.w = 1 JOIN z z2 ON z2.doc_id = x.doc_id AND z2.w = 2
+  LEFT JOIN m m1 ON m1.doc_id = x.doc_id AND m1.w = 1 LEFT JOIN m m2 ON m2.doc_id = x.doc_id AND m2.w = 2)
+SELECT doc_id, k AS n_chars, sha256(edited) AS edited_sha256, a AS fingerprint, b AS edited_fingerprint, near_edited::DOUBLE AS near_edited, near_next::DOUBLE AS near_next FROM q
+"""

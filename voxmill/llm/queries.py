@@ -6,7 +6,7 @@ from voxmill.llm.bpe import op4_byte_bpe
 from voxmill.llm.elias_fano import op10_elias_fano_output
 from voxmill.llm.html import op3_html_extraction
 from voxmill.llm.licenses import OP8_SQL, op8_license_scan
-from voxmill.llm.merkle import op2_merkle_fingerprints
+from voxmill.llm.merkle import OP2_SQL, op2_merkle_fingerprints
 from voxmill.llm.neardup import OP6_SQL, op6_near_duplicates
 from voxmill.llm.packing import op9_best_fit_packing
 from voxmill.llm.pii import op7_pii
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_elias_fano_output": op10_elias_fano_output,
 }
-SQL = {"op1_exact_top_k": OP1_SQL, "op6_near_duplicates": OP6_SQL, "op8_license_scan": OP8_SQL}
+SQL = {"op1_exact_top_k": OP1_SQL, "op2_merkle_fingerprints": OP2_SQL, "op6_near_duplicates": OP6_SQL, "op8_license_scan": OP8_SQL}

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from voxmill.functions import expressions as X
 from voxmill.operators import agglomerate as A
-from voxmill.operators import graph, grid, kernels, labels, learned, metrics, skeleton
+from voxmill.operators import borders, grid, kernels, labels, learned, metrics, skeleton
 from voxmill.operators import neighbours as N
+from voxmill.plans import recipes
+from voxmill.sources import blocks, codecs
 from voxmill.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -558,18 +560,59 @@ def rasterised_nodes(spark, sf):
     return skeleton.rasterised(skeletons(spark, sf)[0], 2)
 
 
-# --- kernels and learning: rows only
+# --- kernels on blocks, against the same SQL
 
 
-@query()
+@query(SQL["components_6"])
 def block_components(spark, sf):
-    return kernels.block_components(voxels(spark, sf).withColumn("label", F.col("type") + 1), 16).orderBy("z", "y", "x")
+    vox = voxels(spark, sf).withColumn("label", F.col("type") + 1)
+    found = kernels.block_components(vox, 16).join(vox.select("x", "y", "z", "idx"), ["x", "y", "z"])
+    names = found.groupBy("component").agg(F.min("idx").alias("lowest"))
+    return found.join(names, "component").select("idx", F.col("lowest").alias("component"))
 
 
-@query()
+@query(f"{_ADJ.replace('user_id % 12 AS label', 'user_id AS label')} SELECT a, b, count(*) AS n_pairs FROM a GROUP BY 1, 2")
+def block_adjacency(spark, sf):
+    stored = blocks.to_blocks(voxels(spark, sf).withColumn("label", F.col("user_id")), "label", "uint16", 16)
+    return kernels.block_adjacency(stored, 16)
+
+
+@query(f"WITH {_G} SELECT x, y, z, v FROM g")
+def block_round_trip(spark, sf):
+    vox = voxels(spark, sf)
+    back = blocks.to_voxels(blocks.to_blocks(vox, "v", "uint32", 16), 16, "v", out="long")
+    return back.join(vox.select("x", "y", "z"), ["x", "y", "z"], "left_semi")
+
+
+@query(f"WITH {_G}, f AS (SELECT * FROM g WHERE type = 3), n AS (SELECT e.idx, f.user_id, (e.x - f.x) * (e.x - f.x) + (e.y - f.y) * (e.y - f.y) + (e.z - f.z) * (e.z - f.z) AS d FROM g e JOIN f ON abs(e.x - f.x) <= 4 AND abs(e.y - f.y) <= 4 AND abs(e.z - f.z) <= 4 WHERE e.type <> 3 AND e.z < 4), r AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY d, user_id) AS k FROM n) SELECT g.x, g.y, g.z, (CASE WHEN g.type = 3 THEN g.user_id + 1 ELSE coalesce(r.user_id + 1, 0) END)::BIGINT AS label FROM g LEFT JOIN r ON g.idx = r.idx AND k = 1 WHERE g.z < 4")
 def kernel_nearest_fill(spark, sf):
     vox = voxels(spark, sf).withColumn("label", F.when(F.col("type") == 3, F.col("user_id") + 1).otherwise(0))
-    return kernels.over_blocks(vox, kernels.nearest_fill, 16, 6)
+    return kernels.over_blocks(vox, kernels.nearest_fill, 16, 6).where("z < 4")
+
+
+# --- kernels and learning: rows only
+
+
+@query()
+def watershed(spark, sf):
+    p = [(F.col("v") % m / (m * 1.0)).alias(c) for c, m in zip("abc", (97, 1013, 5003), strict=True)]
+    return recipes.watershed(voxels(spark, sf).select("x", "y", "z", *p), ["a", "b", "c"], [0.5, 0.8], 3, 16, 2, method="skim-ws")
+
+
+@query()
+def label_check(spark, sf):
+    return recipes.label_check(voxels(spark, sf).select("x", "y", "z", "label"), 3, 16, 0.5)
+
+
+@query()
+def border_axes(spark, sf):
+    return borders.principal_axes(borders.border_voxels(voxels(spark, sf), 6), ["a", "b"])
+
+
+@query()
+def label_meshes(spark, sf):
+    stored = blocks.to_blocks(voxels(spark, sf), "label", "uint8", 16)
+    return codecs.merge_meshes(codecs.label_meshes(stored, 16)).select("label", "n_vox", "area", F.size("vertices").alias("n_vertices"), F.size("faces").alias("n_faces"))
 
 
 @query()

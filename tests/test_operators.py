@@ -317,3 +317,12 @@ def test_block_adjacency_matches_the_voxel_join(spark):
     want = {(r.a, r.b): r.n_pairs for r in N.adjacency_graph(vox).collect()}
     got = {(r.a, r.b): r.n_pairs for r in kernels.block_adjacency(blocks.to_blocks(vox, "label", "uint16", 4), 4).collect()}
     assert got == want
+
+
+def test_value_at(spark):
+    rng = random.Random(2)
+    values = [rng.choice([rng.random(), 0.5, 1e-300, 3.0]) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in values], "p double").coalesce(2)
+    for place in (0, 17, 150, 299):
+        assert A.value_at(df, "p", place) == sorted(values, reverse=True)[place]
+    assert A.value_at(df, "p", 300) is None

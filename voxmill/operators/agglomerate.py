@@ -71,17 +71,34 @@ def threshold_agglomerate(edges: DataFrame, thresholds: list[float], weight: str
     return out.select("threshold", "old", "new")
 
 
+def value_at(rows: DataFrame, column: str, place: int) -> float | None:
+    """The value at a place, from 0, of the descending order of a column without nulls.
+
+    The range that holds it is cut into 4096 bins again and again; each step brings one row to the driver and no task
+    sorts the values.
+    """
+    ends = rows.agg(F.max(column).alias("hi"), F.min(column).alias("lo"), F.count(column).alias("n")).first()
+    if not 0 <= place < ends["n"]:
+        return None
+    hi, lo = ends["hi"], ends["lo"]
+    running = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    while hi > lo:
+        bins = rows.where(F.col(column).between(lo, hi)).groupBy(F.least(F.floor((F.lit(hi) - F.col(column)) / ((hi - lo) / 4096)), F.lit(4095)).alias("bin"))
+        counted = bins.agg(F.count("*").alias("k"), F.max(column).alias("hi"), F.min(column).alias("lo")).withColumn("upto", F.sum("k").over(running))
+        found = counted.where(F.col("upto") > place).orderBy("bin").first()
+        place -= found["upto"] - found["k"]
+        if (found["hi"], found["lo"]) == (hi, lo):  # the bins can't part these values
+            return rows.where(F.col(column).between(lo, hi)).groupBy(column).agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(Window.orderBy(F.desc(column)))).where(F.col("upto") > place).agg(F.max(column)).first()[0]
+        hi, lo = found["hi"], found["lo"]
+    return hi
+
+
 def merge_percent(edges: DataFrame, percent: float, p: str = "p", predicted: str = "merge") -> DataFrame:
     """Edges predicted to merge whose probability is at least that at place ``int(n * percent)`` of the predicted ones'
     count, in the descending order of all; the place is clamped; ties at the threshold stay."""
-    n = edges.where(F.col(predicted)).agg(F.count("*").alias("n"))
-    top = edges.agg(F.count("*").alias("all"))
-    place = n.crossJoin(F.broadcast(top)).select(F.least(F.floor(F.col("n") * percent), F.col("all") - 1).alias("at"))  # one row each
-    counts = edges.groupBy(p).agg(F.count("*").alias("k"))
-    # values are few against rows; their counts are summed from above
-    before = counts.withColumn("hi", F.sum("k").over(Window.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)))
-    threshold = before.crossJoin(F.broadcast(place)).where("hi > at").agg(F.max(p).alias("__t"))
-    return edges.crossJoin(F.broadcast(threshold)).where((F.col(p) >= F.col("__t")) & F.col(predicted)).drop("__t")
+    counts = edges.agg(F.count_if(predicted).alias("n"), F.count(p).alias("total")).first()
+    threshold = value_at(edges.where(F.col(p).isNotNull()), p, min(int(counts["n"] * percent), counts["total"] - 1))
+    return edges.where(F.col(predicted) & (F.col(p) >= F.lit(threshold)))
 
 
 def stitched(vox: DataFrame, a: str = "first", b: str = "second", shift: int = 1 << 40) -> DataFrame:

@@ -130,10 +130,14 @@ def select_ecs(vox: DataFrame, ecs: int, label: str = "label") -> DataFrame:
 
 
 def reorder_by_type(vox: DataFrame, n_types: int, label: str = "label", kind: str = "type") -> DataFrame:
-    """Labels renumbered so that those of one majority type follow each other, in their old order."""
+    """Labels renumbered so that those of one majority type follow each other, in their old order.
+
+    Ranks are counted within ranges of labels of a type, as in ``dense_mapping``.
+    """
     types = majority_type(vox.where(F.col(label) != 0), n_types, label, kind)
-    order = F.row_number().over(Window.partitionBy("major_type").orderBy(label))
-    sizes = types.groupBy("major_type").agg(F.count("*").alias("n"))
-    base = sizes.select("major_type", (F.sum("n").over(Window.orderBy("major_type").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
-    mapping = types.withColumn("k", order).join(base, "major_type").select(F.col(label).alias("old"), (F.col("k") + F.col("base")).alias("new"))
-    return relabelled(vox, mapping, label)
+    ranged = types.withColumn("part", F.floor(F.col(label) / 65536))
+    sizes = ranged.groupBy("major_type", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("major_type", "part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    rank = F.row_number().over(Window.partitionBy("major_type", "part").orderBy(label))
+    mapping = ranged.withColumn("k", rank).join(sizes.select("major_type", "part", before.alias("base")), ["major_type", "part"])
+    return relabelled(vox, mapping.select(F.col(label).alias("old"), (F.col("k") + F.col("base")).alias("new")), label)

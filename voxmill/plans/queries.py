@@ -374,9 +374,9 @@ def downsample_median(spark, sf):
     return rounded(N.downsampled(voxels(spark, sf), 2, "median", "v"), 4)
 
 
-@query(f"WITH {_G} SELECT x * 2 + a AS x, y * 2 + b AS y, z * 2 + c AS z, v FROM g, range(2) i(a), range(2) j(b), range(2) k(c) WHERE z < 4")
+@query(f"WITH {_G} SELECT x * 2 + a AS x, y * 2 + b AS y, z * 2 + c AS z, v FROM g, range(2) i(a), range(2) j(b), range(2) k(c)")
 def upsample(spark, sf):
-    return N.upsampled(voxels(spark, sf).where("z < 4").select("x", "y", "z", "v"), 2)
+    return N.upsampled(voxels(spark, sf).select("x", "y", "z", "v"), 2)
 
 
 def tiles(spark, sf):
@@ -406,15 +406,15 @@ def tile_summary(spark, sf):
     return rounded(shares.join(stats, "kind").crossJoin(F.broadcast(total)).select("kind", F.round(F.col("n") / F.col("total"), 6).alias("share"), F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std")))
 
 
-@query(f"WITH {_G}, d AS (SELECT a.x, a.y, a.z, max(b.v) AS v FROM g a JOIN g b ON b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.z BETWEEN a.z - 1 AND a.z + 1 GROUP BY 1, 2, 3) SELECT a.x, a.y, a.z, min(b.v) AS v FROM d a JOIN d b ON b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.z BETWEEN a.z - 1 AND a.z + 1 WHERE a.z < 6 GROUP BY 1, 2, 3")
+@query(f"WITH {_G}, d AS (SELECT a.x, a.y, a.z, max(b.v) AS v FROM g a JOIN g b ON b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.z BETWEEN a.z - 1 AND a.z + 1 GROUP BY 1, 2, 3) SELECT a.x, a.y, a.z, min(b.v) AS v FROM d a JOIN d b ON b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.z BETWEEN a.z - 1 AND a.z + 1 GROUP BY 1, 2, 3")
 def grey_closing(spark, sf):
-    return N.axis_closed(voxels(spark, sf).select("x", "y", "z", "v")).where("z < 6")
+    return N.axis_closed(voxels(spark, sf).select("x", "y", "z", "v"))
 
 
-@query(f"WITH {_G}, f AS (SELECT * FROM g WHERE type = 3), e AS (SELECT * FROM g WHERE type <> 3 AND z < 5), n AS (SELECT e.idx, f.user_id, (e.x - f.x) * (e.x - f.x) + (e.y - f.y) * (e.y - f.y) + 9 * (e.z - f.z) * (e.z - f.z) AS d FROM e JOIN f ON abs(e.x - f.x) <= 2 AND abs(e.y - f.y) <= 2 AND abs(e.z - f.z) <= 2), r AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY d, user_id) AS k FROM n) SELECT g.idx, (CASE WHEN g.type = 3 THEN g.user_id + 1 ELSE coalesce(r.user_id + 1, 0) END)::BIGINT AS label FROM g LEFT JOIN r ON g.idx = r.idx AND k = 1 WHERE g.z < 5")
+@query(f"WITH {_G}, f AS (SELECT * FROM g WHERE type = 3), e AS (SELECT * FROM g WHERE type <> 3), n AS (SELECT e.idx, f.user_id, (e.x - f.x) * (e.x - f.x) + (e.y - f.y) * (e.y - f.y) + 9 * (e.z - f.z) * (e.z - f.z) AS d FROM e JOIN f ON abs(e.x - f.x) <= 2 AND abs(e.y - f.y) <= 2 AND abs(e.z - f.z) <= 2), r AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY d, user_id) AS k FROM n) SELECT g.idx, (CASE WHEN g.type = 3 THEN g.user_id + 1 ELSE coalesce(r.user_id + 1, 0) END)::BIGINT AS label FROM g LEFT JOIN r ON g.idx = r.idx AND k = 1")
 def nearest_fill(spark, sf):
     vox = voxels(spark, sf).withColumn("label", F.when(F.col("type") == 3, F.col("user_id") + 1).otherwise(0))
-    return N.nearest_label(vox.select("idx", "x", "y", "z", "label"), 2, (1.0, 1.0, 3.0)).where("z < 5").select("idx", F.col("label").cast("long").alias("label"))
+    return N.nearest_label(vox.select("idx", "x", "y", "z", "label"), 2, (1.0, 1.0, 3.0)).select("idx", F.col("label").cast("long").alias("label"))
 
 
 @query(f"WITH {_G} SELECT idx, v FROM g WHERE x >= 3 AND x < 9 AND y >= 2 AND y < 20 AND z >= 1 AND z < 4")
@@ -503,14 +503,14 @@ def merge_targets(spark, sf):
 
 # --- skeletons
 
-_SK = f"""{_G}, n AS (SELECT user_id % 40 AS tree, idx AS node, x, y, z, label FROM g WHERE idx % 3 = 0),
+_SK = f"""{_G}, n AS (SELECT user_id % 40 AS tree, idx AS node, x, y, z, label FROM g),
 k AS (SELECT tree, node AS src, lead(node) OVER (PARTITION BY tree ORDER BY node) AS dst FROM n),
 e AS (SELECT k.tree, src, dst, i.label AS src_label, j.label AS dst_label, sqrt((i.x - j.x) * (i.x - j.x) + (i.y - j.y) * (i.y - j.y) + 9 * (i.z - j.z) * (i.z - j.z)) AS length, i.label <> j.label AS split FROM k JOIN n i ON k.src = i.node JOIN n j ON k.dst = j.node)"""
 
 
 def skeletons(spark, sf):
     g = voxels(spark, sf)
-    nodes = g.where("idx % 3 = 0").select((F.col("user_id") % 40).alias("tree"), F.col("idx").alias("node"), "x", "y", "z")
+    nodes = g.select((F.col("user_id") % 40).alias("tree"), F.col("idx").alias("node"), "x", "y", "z")
     after = F.lead("node").over(Window.partitionBy("tree").orderBy("node"))
     tree_edges = nodes.select("tree", F.col("node").alias("src"), after.alias("dst")).where("dst is not null")
     placed = skeleton.node_labels(nodes, g)
@@ -549,10 +549,9 @@ def skeleton_per_plane(spark, sf):
     return rounded(skeleton.per_plane(nodes, tree_edges).drop("y"), 4)
 
 
-@query(f"WITH {_SK}, s AS (SELECT * FROM n WHERE node % 90 = 0) SELECT s.tree, s.node, g.label, count(*) AS n_vox FROM s JOIN g ON (s.x - g.x) * (s.x - g.x) + (s.y - g.y) * (s.y - g.y) + (s.z - g.z) * (s.z - g.z) <= 9 WHERE g.label <> 0 GROUP BY 1, 2, 3")
+@query(f"WITH {_SK} SELECT s.tree, s.node, g.label, count(*) AS n_vox FROM n s JOIN g ON (s.x - g.x) * (s.x - g.x) + (s.y - g.y) * (s.y - g.y) + (s.z - g.z) * (s.z - g.z) <= 4 WHERE g.label <> 0 GROUP BY 1, 2, 3")
 def near_nodes(spark, sf):
-    nodes = skeletons(spark, sf)[0].where("node % 90 = 0")  # seeds, a sample by design
-    return skeleton.near_nodes(nodes, voxels(spark, sf).select("x", "y", "z", "label"), 3, 4)
+    return skeleton.near_nodes(skeletons(spark, sf)[0], voxels(spark, sf).select("x", "y", "z", "label"), 2, 4)
 
 
 @query(f"WITH {_SK}, b AS (SELECT a - 2 AS dx, b - 2 AS dy, c - 2 AS dz FROM range(5) i(a), range(5) j(b), range(5) k(c) WHERE (a - 2) * (a - 2) + (b - 2) * (b - 2) + (c - 2) * (c - 2) <= 4) SELECT x + dx AS x, y + dy AS y, z + dz AS z, min(tree) AS label FROM n, b GROUP BY 1, 2, 3")
@@ -584,10 +583,10 @@ def block_round_trip(spark, sf):
     return back.join(vox.select("x", "y", "z"), ["x", "y", "z"], "left_semi")
 
 
-@query(f"WITH {_G}, f AS (SELECT * FROM g WHERE type = 3), n AS (SELECT e.idx, f.user_id, (e.x - f.x) * (e.x - f.x) + (e.y - f.y) * (e.y - f.y) + (e.z - f.z) * (e.z - f.z) AS d FROM g e JOIN f ON abs(e.x - f.x) <= 4 AND abs(e.y - f.y) <= 4 AND abs(e.z - f.z) <= 4 WHERE e.type <> 3 AND e.z < 4), r AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY d, user_id) AS k FROM n) SELECT g.x, g.y, g.z, (CASE WHEN g.type = 3 THEN g.user_id + 1 ELSE coalesce(r.user_id + 1, 0) END)::BIGINT AS label FROM g LEFT JOIN r ON g.idx = r.idx AND k = 1 WHERE g.z < 4")
+@query(f"WITH {_G}, f AS (SELECT * FROM g WHERE type = 3), n AS (SELECT e.idx, f.user_id, (e.x - f.x) * (e.x - f.x) + (e.y - f.y) * (e.y - f.y) + (e.z - f.z) * (e.z - f.z) AS d FROM g e JOIN f ON abs(e.x - f.x) <= 4 AND abs(e.y - f.y) <= 4 AND abs(e.z - f.z) <= 4 WHERE e.type <> 3), r AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY d, user_id) AS k FROM n) SELECT g.x, g.y, g.z, (CASE WHEN g.type = 3 THEN g.user_id + 1 ELSE coalesce(r.user_id + 1, 0) END)::BIGINT AS label FROM g LEFT JOIN r ON g.idx = r.idx AND k = 1")
 def kernel_nearest_fill(spark, sf):
     vox = voxels(spark, sf).withColumn("label", F.when(F.col("type") == 3, F.col("user_id") + 1).otherwise(0))
-    return kernels.over_blocks(vox, kernels.nearest_fill, 16, 6).where("z < 4")
+    return kernels.over_blocks(vox, kernels.nearest_fill, 16, 6)
 
 
 # --- kernels and learning: rows only

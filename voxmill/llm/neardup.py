@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm.tokens import id_and_text, rows_of
+from voxmill.llm.tokens import give_up_cache, id_and_text, rows_of
 from voxmill.operators.graph import connected_components
 from voxmill.session import cut, read_table
 
@@ -162,6 +162,7 @@ def _sketch(df: DataFrame, words: int) -> DataFrame:
     """``(doc_id, n_shingles, set_key, bands)``: sixteen bytes that stand for the set, and its bands; both null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up_cache()
         for batch in rows_of(batches):
             sets = [shingle_set(x, words) for x in batch.column(1).to_pylist()]
             keys = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
@@ -229,6 +230,7 @@ def _confirmed(own: DataFrame, groups: DataFrame, words: int, percent: int) -> D
     texts = own.join(groups, own["doc_id"] == groups["id"]).select("id", "grp", "text").dropDuplicates()
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up_cache()
         for batch in rows_of(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shingle_set(x, words).tobytes() for x in batch.column(2).to_pylist()], pa.binary())], names=["id", "grp", "shingles"])
 

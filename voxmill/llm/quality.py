@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm.tokens import id_and_text, rows_of
+from voxmill.llm.tokens import give_up_cache, id_and_text, rows_of
 from voxmill.session import read_table
 
 #: Slots for hashed words; the statistics' slots follow.
@@ -151,6 +151,7 @@ def score(df: DataFrame, model: Machine, text_col: str = "text", to: str = "scor
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up_cache()
         own = Machine(*shared.value)
         for batch in rows_of(batches, 128):
             scores = own.scores([features(x) for x in batch.column(at).cast(pa.string()).to_pylist()])

@@ -159,6 +159,11 @@ def encoder(path: str, special_as_text: bool = True) -> ChunkEncoder:
     return ChunkEncoder(path, special_as_text)
 
 
+def give_up_cache() -> None:
+    """Frees what this worker has learned; called by operators that need memory and no tokenizer."""
+    encoder.cache_clear()
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns, under fixed names: other columns can't clash with what an operator adds."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -283,8 +283,8 @@ def test_meshes(spark):
 def test_raw_tree_and_conf(spark):
     files = spark.createDataFrame([("/d/s_x0001_y0002_z0003.raw",), ("/d/t_x0001_y0002_z0003.raw",), ("/d/none",)], "path string")
     assert [tuple(r) for r in blocks.chunk_mask(files).collect()] == [(1, 2, 3)]
-    conf = spark.createDataFrame([('experiment name "K0057";',), ("scale x 9.5;",), ("",)], "value string")
-    assert sorted(map(tuple, blocks.read_conf(conf).collect())) == [("experiment name", "K0057"), ("scale x", "9.5")]
+    conf = spark.createDataFrame([('experiment name "sample7";',), ("scale x 9.5;",), ("",)], "value string")
+    assert sorted(map(tuple, blocks.read_conf(conf).collect())) == [("experiment name", "sample7"), ("scale x", "9.5")]
 
 
 def test_learning(spark):

@@ -273,6 +273,22 @@ def test_op6_against_all_pairs(spark, monkeypatch, words):
     assert got == brute_groups(rows, words)
 
 
+def test_op6_small_groups_are_compared_whole(spark):
+    rng = random.Random(12)
+    docs, groups, want = [], [], set()
+    for n in range(3, 17):
+        for _ in range(25):  # one linked pair, the others unrelated, in a group no larger than the pivots' number
+            ids = [len(docs) + i for i in range(n)]
+            texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(12)) for _ in range(n)]
+            a, b = rng.sample(range(n), 2)
+            texts[b] = texts[a] + " more"
+            docs += zip(ids, texts)
+            groups += [(i, ids[0]) for i in ids]
+            want.add((min(ids[a], ids[b]), max(ids[a], ids[b])))
+    links = neardup._confirmed(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(groups, "id long, grp long"), 2, 80)
+    assert {(min(r.id, r.other), max(r.id, r.other)) for r in links.collect()} == want
+
+
 def test_op6_odd_rows(spark):
     df = spark.createDataFrame([(5, "a b c"), (5, "a b c"), (None, "a b c"), (2, "a b c"), (9, None), (5, "q r s")], "doc_id long, text string")
     got = sorted(((r.doc_id or 0, r.component_id) for r in neardup.near_duplicates(df, words=2).collect()), key=str)

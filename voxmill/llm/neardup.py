@@ -236,7 +236,8 @@ def _confirmed(own: DataFrame, groups: DataFrame, words: int, percent: int) -> D
 
     sets = cut(texts.mapInArrow(to_sets, "id long, grp long, shingles binary"))
     counted = groups.groupBy("grp").agg(F.count("*").alias("n"), *[F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
-    pivots = counted.select("grp", "n", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("id"))
+    drawn = F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))
+    pivots = counted.select("grp", "n", F.explode(drawn).alias("id"))
     tiles = F.ceil(F.col("n") / TILE).cast("long")
     left = sets.join(pivots.drop("grp"), "id").withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
     right = sets.join(counted.select("grp", "n"), "grp").withColumn("tile", F.pmod(F.xxhash64("id"), tiles))
@@ -246,8 +247,10 @@ def _confirmed(own: DataFrame, groups: DataFrame, words: int, percent: int) -> D
     placed = cut(groups.join(classes, "id", "left").select("id", "grp", F.coalesce("cls", "id").alias("cls")))
     # the largest class of a group needs no comparison within; each member outside it meets all members, tile by tile
     sizes = placed.groupBy("grp", "cls").agg(F.count("*").alias("n"))
-    # groups of which every member was a pivot are done; all counts are pre-aggregated, so a large group is few rows
-    top = sizes.groupBy("grp").agg(F.max(F.struct("n", "cls")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("k")).where(f"k > 1 and n > {PIVOTS}")
+    # groups of which at most one member was no pivot are done: draws may coincide, so a small group can have more such
+    # members; all counts are pre-aggregated, so a large group is few rows
+    open_groups = counted.where(F.size(drawn) < F.col("n") - 1).select("grp")
+    top = sizes.groupBy("grp").agg(F.max(F.struct("n", "cls")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1").join(open_groups, "grp", "left_semi")
     tiles = lambda n: F.ceil(n / TILE).cast("long")
     plan = top.select("grp", F.col("top.cls").alias("top"), tiles(F.col("n")).alias("tiles"), tiles(F.col("n") - F.col("top.n")).alias("blocks"))
     rows = sets.join(placed.select("id", "cls"), "id").join(plan, "grp")

@@ -374,3 +374,80 @@ def test_op8_rules(spark):
     got = {r.doc_id: (r.sentence_ids, r.licenses) for r in licenses.scan(df).collect()}
     assert got == {0: (["RESERVED"], ["proprietary"]), 1: ([], []), 2: ([], []), 3: (["MIT-NOTE", "CCBYNC4-NOTE"], ["MIT", "CC-BY-NC-4.0"]), 4: ([], []), 5: (["AS-IS"], []), 6: (["APACHE2-NOTE", "APACHE2-USE", "APACHE2-COPY"], ["Apache-2.0"]), 7: (["RESERVED", "RESERVED"], ["proprietary", "proprietary"])}
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE.
+"""
+BSD2 = """Copyright (c) 2020, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = (
+    BSD2
+    + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+)
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+APACHE = """Copyright 2020 Some One
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS.
+"""
+
+
+def test_op8_whole_wrapped_licences(spark):
+    commented = lambda t: "".join(f" * {x}".rstrip() + "\r\n" for x in t.splitlines())
+    want = {MIT: ["MIT"], BSD2: ["BSD-2-Clause"], BSD3: ["BSD-3-Clause"], GPL: ["GPL"], APACHE: ["Apache-2.0"]}
+    cases = [(f(t), w) for t, w in want.items() for f in (str, commented)]
+    cases += [("A title\nReleased under the\nMIT License.", ["MIT"]), ("Released under the\n\nMIT License.", []), ("line\nReleased under the MIT License\nline", ["MIT"]), ("." * 50_000 + "\n" * 50_000, [])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.scan(df).collect()}
+    assert got == {i: w for i, (_, w) in enumerate(cases)}

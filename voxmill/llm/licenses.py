@@ -52,21 +52,48 @@ RULES = [
     ("RESERVED", "proprietary"),
 ]
 _IDS = sorted(set(SENTENCES.values()))
+#: Whole sentences of licence texts of which the table above holds the beginning, or a variant.
+WHOLE = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MIT-GRANT",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "MIT-KEEP",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "AS-IS",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and non infringement": "AS-IS",
+}
+#: Chains tried before those above.
+WHOLE_RULES = [
+    ("RESERVED BSD-SRC BSD-BIN BSD-NAME", "BSD-3-Clause"),
+    ("BSD-SRC BSD-BIN BSD-NAME", "BSD-3-Clause"),
+    ("RESERVED BSD-SRC BSD-BIN", "BSD-2-Clause"),
+]
+#: In normalised text S is a sentence's end; a blank of a sentence may be a line's end, but not an empty line.
+_GAP = r"(?: ?\n ?| )"
+
+
+def _expression() -> str:
+    spaced = lambda x: x.replace(".", r"\.").replace(" ", _GAP)
+    known = [spaced(x) for x in sorted({**SENTENCES, **WHOLE}, key=lambda x: -len(x))]
+    # the one sentence that holds a name
+    ends = "neither the name of", " may be used to endorse or promote products derived from this software without specific prior written permission"
+    known.append(rf"{spaced(ends[0])}(?:{_GAP}[a-z0-9.]+){{1,40}}?{spaced(ends[1])}")
+    return rf"(?<![^S\n])[ .]*+(?:[a-z0-9] (?=redistributions|neither))?+({'|'.join(known)})[ .]*+(?![^S\n])"
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in text order."""
-    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?:;])[ \t\r\n]+", "$1\n"), "\n", -1)
-    plain = lambda s: F.regexp_replace(F.regexp_replace(F.lower(s), "[^a-z0-9.]+", " "), r"^[ .]+|[ .]+$", "")
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    # only a sentence with as many characters as the shortest known one, after trimming, can be known
-    return F.filter(F.transform(lines, lambda s: F.when(F.length(s) >= min(map(len, SENTENCES)), F.try_element_at(known, plain(s)))), lambda x: x.isNotNull())
+    """Identifiers of the known sentences of a text, in text order.
+
+    A sentence begins and ends at a sentence's or a line's end and may be wrapped over lines within its paragraph.
+    """
+    ended = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[.!?:;][ \t\r\n]+", "S")
+    plain = F.regexp_replace(ended, r"[^a-z0-9.S\n]+", " ")
+    known = F.create_map(*[F.lit(x) for pair in {**SENTENCES, **WHOLE}.items() for x in pair])
+    found = F.regexp_extract_all(plain, F.lit(_expression()), F.lit(1))
+    return F.transform(found, lambda s: F.coalesce(F.try_element_at(known, F.regexp_replace(s, _GAP, " ")), F.lit("BSD-NAME")))
 
 
 def matched(ids: Column) -> Column:
     """Licences by the rules, in order of the rules, each as often as its chain occurs."""
     start = F.struct(F.concat(F.lit(" "), F.array_join(F.transform(ids, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), " "), F.lit(" ")).alias("rest"), F.array().cast("array<string>").alias("out"))
-    rules = F.array(*[F.struct(F.lit(" ".join(f"<{x}>" for x in chain.split())).alias("chain"), F.lit(name).alias("name")) for chain, name in RULES])
+    rules = F.array(*[F.struct(F.lit(" ".join(f"<{x}>" for x in chain.split())).alias("chain"), F.lit(name).alias("name")) for chain, name in WHOLE_RULES + RULES])
 
     def take(state: Column, rule: Column) -> Column:
         rest = F.replace(state["rest"], rule["chain"], F.lit(""))

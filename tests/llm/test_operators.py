@@ -161,6 +161,20 @@ def test_op3_pages(source, want):
     assert html.main_text(source) == want
 
 
+def test_op3_later_runs_and_hinted_wrappers():
+    text = lambda n: ("Words " * n)[: n - 1] + "."
+    advert = "<ul>" + "<li><a href='/x'>Buy this</a></li>" * 3 + "</ul>"
+    parts = [text(60), text(2900), text(250), text(170), text(90)]
+    body = "".join(f"<p>{x}</p>" for x in parts[:2]) + advert + "".join(f"<p>{x}</p>" for x in parts[2:]) + advert + "<p>The end.</p>"
+    got = html.main_text(page(body))
+    assert all(x in got for x in [*parts, "The end."])
+    for wrapper in ("content has-sidebar", "sidebar-left", "share"):
+        got = html.main_text(page(f"<div class='{wrapper}'><article><div class='entry-header'><h1>Head</h1></div><p>Text.</p><div class=ad>Buy</div></article><div class=comments><article>First!</article></div></div><p>Out.</p>"))
+        assert got == "Head Text.", wrapper
+    assert html.main_text(page("<article><p>Own.</p></article><div class=related><article>Other.</article></div>")) == "Own."
+    assert html.main_text(page(f"<div class=related><article>Teaser.</article></div><p>{text(200)}</p>")) == text(200)
+
+
 def test_op3_query_whole_article(spark):
     pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     rows = html.op3_html_extraction(spark, SF).collect()

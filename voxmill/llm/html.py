@@ -4,7 +4,7 @@ Markup is stripped into lines, one per block element. A line's weight is the len
 elements that never hold the article (menus, headers, footers, sidebars, notices, adverts, forms, comments) weighs
 nothing, and where a page marks its article, only text in it weighs. The weights are summed over windows of
 neighbouring lines; a surge begins a run of text and a dive to nothing ends it; the heaviest run is the article, with
-runs beside it that the page marks as the same article.
+the runs beside it that aren't mostly links.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ from voxmill.session import read_table
 
 #: Lines that a window sums.
 WINDOW = 3
-#: Text outside an article's marks is taken for the article if its windows reach so many characters.
-SURGE = 80
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -35,6 +33,8 @@ _BLOCK = set("address article aside blockquote body br button caption center dd
 _OUT = {"nav", "header", "footer", "aside", "form", "menu", "button", "dialog", "fieldset", "search"}
 _IN = {"article", "main"}
 _HINT = re.compile(r"(?<![a-z])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|popup|modal|newsletter|subscribe|comments?|replies|disqus|sidebar|side|widget|related|recommend\w*|share|sharing|social|breadcrumbs?|menu|nav\w*|footer|header|masthead|pagination|pager|login|signup|search|complementary|contentinfo|alert)(?![a-z])", re.I)
+#: Names of a layout or of an article's own head, which hold a hint word and hint at nothing.
+_NO_HINT = re.compile(r"(?<![a-z0-9])(?:(?:has|with|without|no)[-_]\S+|(?:entry|post|article|story|content|page)[-_]+header(?![a-z]))", re.I)
 _HINTED = {"div", "section", "ul", "ol", "p", "span", "table", "details", "figure", "li", "dl"}
 #: In HTML white space is these characters; a no-break space from a reference is white space too once decoded.
 _WHITE = re.compile(r"\s+")
@@ -44,7 +44,7 @@ class _Lines:
     def __init__(self):
         self.texts: list[str] = []
         self.linked: list[int] = []
-        self.kinds: list[int] = []  # -1: in an excluded element, 1: in a marked article, 0: neither
+        self.kinds: list[int] = []  # -1: in an excluded element, 1: in a marked article, 1 + n: in one within n hinted elements, 0: neither
         self.parts: list[tuple[str, bool, int]] = []
 
     def end(self) -> None:
@@ -66,12 +66,26 @@ class _Lines:
 def lines_of(page: str) -> _Lines:
     """The page's lines of text; unclosed and stray tags are tolerated."""
     out, at = _Lines(), 0
-    stack: list[tuple[str, int]] = []  # open elements: name, and 1 for an article, -1 for an excluded one
+    stack: list[tuple[str, int]] = []  # open elements: name, and 1 for an article, -1 for an excluded one, -2 for a hinted one
     shut = inside = links = 0
+    lifted: list[tuple[int, int]] = []  # an article within hinted elements: its place in the stack, and their number
     find = _TOKEN.search
+
+    def kind_now() -> int:
+        return -1 if shut else 1 + (lifted[0][1] if lifted else 0) if inside else 0
+
+    def close(depth: int) -> None:
+        nonlocal shut, inside
+        while len(stack) > depth:
+            _, kind = stack.pop()
+            shut -= kind < 0
+            inside -= kind > 0
+            if lifted and lifted[0][0] == len(stack):
+                shut += lifted.pop()[1]
+
     while token := find(page, at):
         if token.start() > at:
-            out.parts.append((page[at : token.start()], links > 0, -1 if shut else 1 if inside else 0))
+            out.parts.append((page[at : token.start()], links > 0, kind_now()))
         at, mark = token.end(), token.group()
         if mark[1] in "!?":
             continue
@@ -83,32 +97,30 @@ def lines_of(page: str) -> _Lines:
                 links = 0
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if depth is not None:
-                for _, kind in stack[depth:]:
-                    shut -= kind < 0
-                    inside -= kind > 0
-                del stack[depth:]
+                close(depth)
             continue
         if name in _RAW:
             if not mark.endswith("/>"):
-                close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = close.end() if close else len(page)
+                ending = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                at = ending.end() if ending else len(page)
             continue
         if name == "a":
             links = 1
         if name in _VOID or mark.endswith("/>"):
             continue
         if name in _BLOCK or name in _HINTED:
-            hinted = name in _HINTED and any(_HINT.search(x) for x in _MARKS.findall(mark))
-            kind = -1 if hinted or name in _OUT and not (name == "header" and inside) else 1 if name in _IN else 0
+            hinted = name in _HINTED and any(_HINT.search(_NO_HINT.sub("", x)) for x in _MARKS.findall(mark))
+            kind = -1 if name in _OUT and not (name == "header" and inside) else -2 if hinted else 1 if name in _IN else 0
             if name in ("p", "li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == name:
-                _, old = stack.pop()  # closed by its like
-                shut -= old < 0
-                inside -= old > 0
+                close(len(stack) - 1)  # closed by its like
+            if kind > 0 and shut and not inside and not any(k == -1 for _, k in stack):
+                lifted.append((len(stack), shut))
+                shut = 0
             stack.append((name, kind))
             shut += kind < 0
             inside += kind > 0
     if at < len(page):
-        out.parts.append((page[at:], links > 0, -1 if shut else 1 if inside else 0))
+        out.parts.append((page[at:], links > 0, kind_now()))
     out.end()
     return out
 
@@ -120,8 +132,14 @@ def main_text(page: str | None) -> str:
         return ""
     kinds = np.array(lines.kinds)
     lengths = np.array([len(x) for x in lines.texts])
+    free = lengths - np.minimum(lines.linked, lengths)
+    if (kinds > 0).any():  # of marked articles the ones in the fewest hinted elements; in any, they may be teasers beside the text
+        least = kinds[kinds > 0].min()
+        if least > 1 and lengths[kinds == least].sum() < free[kinds == 0].sum():
+            least = 0
+        kinds = np.where(kinds > 0, np.where(kinds == least, 1, -1), kinds)
     marked = (kinds > 0).any()
-    weight = np.where(kinds < 0, 0, np.where(marked & (kinds == 0), 0, lengths - (0 if marked else np.minimum(lines.linked, lengths))))
+    weight = np.where(kinds < 0, 0, np.where(marked & (kinds == 0), 0, lengths if marked else free))
     windows = np.convolve(weight, np.ones(WINDOW, int), "same") if len(weight) >= WINDOW else np.full(len(weight), weight.sum())
     runs = []  # surge and dive: from the first to the last line with weight while the windows don't fall to nothing
     start = None
@@ -134,9 +152,9 @@ def main_text(page: str | None) -> str:
             start = None
     if not runs:
         return ""
-    peak = lambda r: (windows[r[0] : r[1]].max(), weight[r[0] : r[1]].sum())
     best = max(runs, key=lambda r: (weight[r[0] : r[1]].sum(), -r[0]))
-    keep = runs if marked else [r for r in runs if r == best or peak(r)[0] >= max(SURGE, 0.2 * peak(best)[0])]
+    plain = lambda r: 2 * weight[r[0] : r[1]].sum() >= lengths[r[0] : r[1]][kinds[r[0] : r[1]] == 0].sum()
+    keep = runs if marked else [r for r in runs if r == best or plain(r)]
     return " ".join(lines.texts[k] for a, b in keep for k in range(a, b) if weight[k] > 0 or (not marked and kinds[k] == 0))
 
 

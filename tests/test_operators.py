@@ -137,6 +137,14 @@ def test_filters():
     assert len({colours[1], colours[2], colours[3]}) == 3 and colours[4] != colours[3]
 
 
+def test_block_components_far_blocks_stay_apart(spark):
+    rows = [(x, y, z, 1) for x in (0, 4 * 8192) for y in (0, -4 * 8192) for z in (0, 4 * 8192, 4 * 65536)]
+    df = spark.createDataFrame(rows, "x int, y int, z int, label int")
+    got = {(r.x, r.y, r.z): r.component for r in kernels.block_components(df, 4).collect()}
+    assert got == {(x, y, z): (z * 32769 + y + 32768) * 32769 + x + 1 for x, y, z, _ in rows}
+    assert kernels.block_components(df.where("label = 0"), 4).count() == 0
+
+
 def test_block_components_match_whole(spark):
     cube = np.random.default_rng(5).integers(0, 3, (7, 9, 8))
     got = {(r.z, r.y, r.x): r.component for r in kernels.block_components(volume(spark, cube), 4).collect()}

@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks that a worker keeps, about 200 bytes each. A full cache takes no more; it starts anew after four times as many
+#: Chunks that a worker keeps, about 400 bytes each. A full cache takes no more; it starts anew after four times as many
 #: misses, so it follows a change of language.
-CACHED_CHUNKS = 1_000_000
+CACHED_CHUNKS = 300_000
+#: Rows, and bytes of their columns, that an operator holds at once; a single longer row stays whole.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 #: Characters whose classes are beyond doubt: Latin letters, digits, signs other than the apostrophe, single line ends
 #: within. A chunk of these is split as the library's patterns would.
@@ -169,8 +171,15 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def rows_of(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that what a task holds at once doesn't follow the batch size of the session."""
+def rows_of(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that what a task holds at once follows neither the batch size of the session nor the texts' lengths."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+            parts = [batch.slice(at, rows)]
+            while parts:
+                part = parts.pop()
+                if part.num_rows > 1 and part.nbytes > size:
+                    half = part.num_rows // 2
+                    parts += [part.slice(half), part.slice(0, half)]
+                else:
+                    yield part

@@ -44,8 +44,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the tokenised texts with their places in sequences of at most 2048 ids; ``ids`` as 32-bit integers."""
     import public_tokenizers
 
-    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pack(pieces)
+    return packing.packed_texts(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("quality classifier", quality_filter), ("MinHash near-dedup", near_dedup), ("PII", redact), ("best-fit packing", pack)]

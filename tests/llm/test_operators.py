@@ -269,10 +269,11 @@ def near_copies(count, seed=4):
     return [" ".join(w) for w in out]
 
 
-@pytest.mark.parametrize("words", [2, 5])
-def test_op6_against_all_pairs(spark, monkeypatch, words):
-    monkeypatch.setattr(neardup, "PIVOTS", 2)
-    monkeypatch.setattr(neardup, "TILE", 7)
+@pytest.mark.parametrize(("words", "few", "rounds"), [(2, 2, 1), (5, 2, 3), (2, 32, 3), (5, 1000, 1)])
+def test_op6_against_all_pairs(spark, monkeypatch, words, few, rounds):
+    monkeypatch.setattr(neardup, "FEW", few)
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    monkeypatch.setattr(neardup, "SALT_ROWS", 5)
     texts = near_copies(400) + ["", None, " \t", "Same WORDS", "same words", "x" * 40, "a b", "b a", "Ä b", "ä b", "a\x0bb\x0cc", "a b c"]
     rng = random.Random(9)
     base = [f"u{i}" for i in range(120)]
@@ -282,31 +283,75 @@ def test_op6_against_all_pairs(spark, monkeypatch, words):
             w[rng.randrange(120)] = f"v{rng.randrange(10**6)}"
         texts.append(" ".join(w))
     rows = [(i * 3 - 50, t) for i, t in enumerate(texts)]
-    df = spark.createDataFrame([(i, t, "z", 1) for i, t in rows], "doc_id long, text string, grp string, n_shingles int").repartition(5)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, words=words).collect()}
+    df = spark.createDataFrame([(i, t, "z", 1) for i, t in rows], "doc_id long, text string, set_key string, id int").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, words=words, also=["id"]).collect()}
     assert got == brute_groups(rows, words)
 
 
-def test_op6_small_groups_are_compared_whole(spark):
-    rng = random.Random(12)
-    docs, groups, want = [], [], set()
-    for n in range(3, 17):
-        for _ in range(25):  # one linked pair, the others unrelated, in a group no larger than the pivots' number
-            ids = [len(docs) + i for i in range(n)]
-            texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(12)) for _ in range(n)]
-            a, b = rng.sample(range(n), 2)
-            texts[b] = texts[a] + " more"
-            docs += zip(ids, texts)
-            groups += [(i, ids[0]) for i in ids]
-            want.add((min(ids[a], ids[b]), max(ids[a], ids[b])))
-    links = neardup._confirmed(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(groups, "id long, grp long"), 2, 80)
-    assert {(min(r.id, r.other), max(r.id, r.other)) for r in links.collect()} == want
+def test_op6_common_footer(spark, monkeypatch):
+    """Half of every text is the same: nothing is linked but the planted pairs, and few pairs are compared."""
+    rng = random.Random(3)
+    footer = " ".join(f"f{i}" for i in range(60))
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(60)) + " " + footer for _ in range(1500)]
+    texts += [t.replace(t.split()[7], "other", 1) for t in texts[:40]]
+    compared = []
+    own = neardup._links
+    monkeypatch.setattr(neardup, "_links", lambda pairs, *rest: compared.append(pairs.count()) or own(pairs, *rest))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, words=2).collect()}
+    assert got == {i: i - 1500 if i >= 1500 else i for i in range(1540)}
+    assert sum(compared) < 0.05 * 1540 * 1540 / 2, compared
+
+
+def exact_groups(rows, words, percent=80):
+    """Classes over all pairs that can be linked: those that share one of the rarest shingles of each set."""
+    sets = [neardup.shingle_set(t, words) for _, t in rows]
+    alike, index, up = {}, {}, list(range(len(rows)))
+    values, counts = np.unique(np.concatenate(sets), return_counts=True)
+
+    def root(x):
+        while up[x] != x:
+            x = up[x] = up[up[x]]
+        return x
+
+    links = 0
+    for i, s in enumerate(sets):
+        if not len(s):
+            continue
+        same = alike.setdefault(s.tobytes(), i)
+        if same != i:
+            up[root(i)] = root(same)
+            continue
+        n = len(s)
+        first = s[np.lexsort((s, counts[np.searchsorted(values, s)]))[: n - -(-percent * n // 100) + 1]]
+        near = {j for x in first.tolist() for j in index.get(x, ())}
+        for x in first.tolist():
+            index.setdefault(x, []).append(i)
+        for j in near:
+            m = len(sets[j])
+            if 100 * min(n, m) >= percent * max(n, m):
+                both = len(np.intersect1d(s, sets[j], assume_unique=True))
+                if 100 * both >= percent * (n + m - both):
+                    links += 1
+                    up[root(i)] = root(j)
+    low = {}
+    for i, (k, _) in enumerate(rows):
+        low[root(i)] = min(low.get(root(i), k), k)
+    return {k: low[root(i)] for i, (k, _) in enumerate(rows)}, links
+
+
+def test_op6_recall_on_the_large_table(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    want, links = exact_groups(rows, 2)
+    got = {r.doc_id: r.component_id for r in neardup.op6_near_duplicates(spark, sf).collect()}
+    assert links > 500 and got == want
 
 
 def test_op6_odd_rows(spark):
-    df = spark.createDataFrame([(5, "a b c"), (5, "a b c"), (None, "a b c"), (2, "a b c"), (9, None), (5, "q r s")], "doc_id long, text string")
+    df = spark.createDataFrame([(5, "a b c"), (5, "a b c"), (None, "a b c"), (2, "a b c"), (9, None), (5, "q r s"), (None, "u v"), (None, None)], "doc_id long, text string")
     got = sorted(((r.doc_id or 0, r.component_id) for r in neardup.near_duplicates(df, words=2).collect()), key=str)
-    assert got == [(0, None), (2, 2), (5, 2), (5, 2), (5, 5), (9, 9)]
+    assert got == sorted([(0, 2), (2, 2), (5, 2), (5, 2), (5, 5), (9, 9), (0, None), (0, None)], key=str)
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 

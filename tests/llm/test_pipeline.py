@@ -44,9 +44,22 @@ def test_stages_keep_columns_and_odd_rows(spark):
     rows = [(1, same, "en", None, 1), (1, same, "en", None, 1), (None, same, None, None, None), (2, None, "de", "s", 0), (3, "", "de", "s", 0), (4, same, "x", "s", 1)]
     df = spark.createDataFrame(rows, schema)
     out = C.near_dedup(spark, df, SF)
-    assert out.columns == C.COLUMNS and sorted((r.doc_id or 0) for r in out.collect()) == [0, 1, 2, 3]
+    assert out.columns == C.COLUMNS and sorted((r.doc_id or 0) for r in out.collect()) == [1, 2, 3]
     out = {r.doc_id: r for r in C.redact(spark, df, SF).collect()}
     assert out[4].text.endswith("mail [EMAIL]") and out[4].n_chars == len(out[4].text) and out[2].text is None and out[3].n_chars == 0
     for _, stage in C.STAGES:
         assert stage(spark, df.limit(0), SF).count() == 0
     assert re.fullmatch("quality classifier|PII|best-fit packing|MinHash near-dedup", C.STAGES[0][0])
+
+
+def test_near_dedup_keeps_every_distinct_text(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    x, y, z = (" ".join(f"{k}{i}" for i in range(12)) for k in "xyz")
+    rows = [(2, x, "en", "s", 1), (5, x, "en", "s", 1), (5, y, "en", "s", 1), (5, y, "en", "s", 1), (5, y, "de", "s", 1), (None, z, None, None, None), (None, z, "q", None, None), (7, None, None, None, None)]
+    outs = [sorted(((r.doc_id or 0, r.text or "") for r in C.near_dedup(spark, spark.createDataFrame(rows[::step], schema).repartition(3), SF).collect())) for step in (1, -1)]
+    assert outs[0] == outs[1] == [(0, z), (2, x), (5, y), (7, "")]
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long, "en", "s", 1), (2, long + " more", "en", "s", 1), (3, "x" * 200_000, "en", "s", 1)]
+    df = spark.createDataFrame([(*r, "k", 1) for r in rows], schema + ", class_no string, row int")
+    for _, stage in C.STAGES[1:]:
+        assert {r.doc_id for r in stage(spark, df, SF).collect()} == ({1, 3} if stage is C.near_dedup else {1, 2, 3})

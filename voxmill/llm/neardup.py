@@ -2,35 +2,42 @@
 
 A document's set is its distinct word shingles. Documents with the same set collapse into one representative. Each
 representative has two small collections of minhash bands, A and B; a table key pairs one band of each, so m + m bands
-make m * m tables. What shares a key joins a candidate group; members are compared with a few pivots of their group,
-and only members that these comparisons leave in different classes are compared with each other, in tiles of bounded
-size. Classes are the components of the confirmed links.
-
-A pair of similarity s meets in some table with probability (1 - (1 - s^r)^m)^2; with r = 3 and m = 20 a pair at 0.8 is
-missed with probability 1.2e-6.
+make m * m tables. Only representatives under one key are candidates; candidates are never closed over before they are
+compared. First each representative meets one leader of its keys, and confirmed links make classes; only keys that still
+hold several classes go on: some more rounds of leaders, then every pair of different classes under a key of few
+members. In keys of many members pairs come by a prefix of each set instead: in one order of all shingles, rare ones
+first, two sets with so much in common share one of the first ones, so no link is lost and frequent shingles (a
+footer that a corpus shares) pair nobody. Sets are compared two at a time, so memory doesn't follow groups.
+
+A pair of similarity s meets in some table with probability (1 - (1 - s^r)^m)^2; with r = 5 and m = 26 a pair at 0.8 is
+missed with probability 7e-5, one at one third is compared with probability 0.01.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm.tokens import give_up_cache, id_and_text, rows_of
+from voxmill.llm.tokens import give_up_cache, rows_of
 from voxmill.operators.graph import connected_components
 from voxmill.session import cut, read_table
 
 #: Bands in each of the two collections, and minhashes in a band.
-BANDS, ROWS = 20, 3
+BANDS, ROWS = 26, 5
 #: Shares of which a link has as many: 100 * intersection >= 80 * union.
 PERCENT = 80
-#: Members of a candidate group with which all are compared first, and members in a tile.
-PIVOTS, TILE = 16, 1024
+#: Rounds of leaders, and members of a key whose pairs are all compared; larger keys go by prefixes.
+ROUNDS, FEW = 3, 32
+#: Counters of the prefixes' order; a shingle's rarity is that of all that share its counter.
+COUNTERS = 1 << 16
+#: Pairs of one representative that are joined in one partition before they are salted.
+SALT_ROWS = 2048
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,11 +107,13 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 def bands(shingles: np.ndarray) -> np.ndarray:
     """2 * BANDS hashes: the bands of collection A, then those of B."""
-    mults = _tables()[1]
+    mults = _tables()[1][:, None]
     low = np.full(len(mults), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        part = _scramble(shingles[at : at + 4096])[None, :] * mults[:, None]
-        low = np.minimum(low, (part ^ (part >> np.uint64(32))).min(axis=1))
+    mixed = _scramble(shingles)
+    part = np.empty((len(mults), 512), np.uint64)
+    for at in range(0, len(mixed), 512):
+        x = mixed[at : at + 512]
+        np.minimum(low, np.multiply(x[None, :], mults, out=part[:, : len(x)]).min(axis=1), out=low)
     low = _scramble(low.reshape(2 * BANDS, ROWS))
     out = np.arange(2 * BANDS, dtype=np.uint64)
     for k in range(ROWS):
@@ -112,182 +121,184 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return _scramble(out)
 
 
-def linked(shared: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * shared >= percent * (a + b - shared)
-
-
-def _shared_with(one: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of ``one`` with the sets that lie end to end in ``flat``; all sets sorted, none empty."""
-    at = np.searchsorted(one, flat)
-    at[at == len(one)] = 0
-    return np.add.reduceat((one[at] == flat).astype(np.int64), starts)
-
-
-def compare(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
-    """Links between rows (id, class, set) of ``left`` and of ``right`` in different classes; found links merge classes."""
-    if not left or not right:
-        return []
-    flat = np.concatenate([x[2] for x in right])
-    sizes = np.array([len(x[2]) for x in right])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    ids, classes = np.array([x[0] for x in right]), np.array([x[1] for x in right])
-    out, same = [], {}
-
-    def root(c: int) -> int:
-        while (up := same.get(c, c)) != c:
-            c = up
-        return c
-
-    for key, own, shingles in left:
-        own = root(own)
-        fit = (100 * np.minimum(sizes, len(shingles)) >= percent * np.maximum(sizes, len(shingles))) & (classes != own) & (ids != key)
-        if not fit.any():
-            continue
-        if fit.sum() * 4 < len(fit):
-            near = np.flatnonzero(fit)
-            cut_flat = np.concatenate([right[i][2] for i in near])
-            shared = _shared_with(shingles, cut_flat, np.concatenate([[0], np.cumsum(sizes[near])[:-1]]))
-        else:
-            near, shared = np.flatnonzero(fit), _shared_with(shingles, flat, starts)[fit]
-        for i in near[linked(shared, sizes[near], len(shingles), percent)]:
-            out.append((key, int(ids[i])))
-            if (other := root(int(classes[i]))) != own:
-                same[max(other, own)] = min(other, own)
-                classes[classes == max(other, own)] = min(other, own)
-                own = min(other, own)
-    return out
-
-
-def _sketch(df: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, n_shingles, set_key, bands)``: sixteen bytes that stand for the set, and its bands; both null without shingles."""
+def _longs(parts: list[np.ndarray | None]) -> pa.Array:
+    """Arrays of 64-bit hashes as lists of signed integers."""
+    offsets = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in parts])]).astype(np.int32)
+    flat = np.concatenate([x for x in parts if x is not None] or [np.zeros(0, np.uint64)]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([x is None for x in parts]))
+
+
+def _sketch(own: DataFrame, words: int) -> DataFrame:
+    """Each row without its text, with ``n_shingles``, ``set_key`` (sixteen bytes that stand for the set) and ``bands``;
+    the last two are null without shingles."""
+    names = [x for x in own.columns if x != "text"]
+    at, places = own.columns.index("text"), [own.columns.index(x) for x in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_up_cache()
         for batch in rows_of(batches):
-            sets = [shingle_set(x, words) for x in batch.column(1).to_pylist()]
-            keys = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
-            marks = [bands(s).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(marks, pa.binary())], names=["doc_id", "n_shingles", "set_key", "bands"])
+            counts, keys, marks = [], [], []
+            for text in batch.column(at):
+                shingles = shingle_set(text.as_py(), words)
+                counts.append(len(shingles))
+                keys.append(hashlib.md5(shingles.tobytes()).digest() if len(shingles) else None)
+                marks.append(bands(shingles) if len(shingles) else None)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in places], pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), _longs(marks)], names=[*names, "n_shingles", "set_key", "bands"])
 
-    return df.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands binary")
+    kept = ", ".join(f"`{x}` {own.schema[x].dataType.simpleString()}" for x in names)
+    return own.mapInArrow(run, f"{kept}, n_shingles long, set_key binary, bands array<long>")
 
 
-def _keys(reps: DataFrame, pairs: bool) -> DataFrame:
-    """``(key, id)``: of collection A's bands, or of the pairs of a band of A and one of B."""
+def _busy(rows: DataFrame, hashes: str, to: str) -> DataFrame:
+    """``(id, to)``: of the rows' bands those that another row has too; counts are pre-aggregated, so a hot band is one row per task."""
+    single = rows.select("id", F.explode(hashes).alias("band"))
+    busy = single.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band")
+    return single.join(busy, "band", "left_semi").groupBy("id").agg(F.collect_list("band").alias(to))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, 64 if pairs else 2048):
-            marks = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(batch.num_rows, 2 * BANDS)
-            a, b, ids = marks[:, :BANDS], marks[:, BANDS:], batch.column(0).to_numpy()
-            if pairs:
-                # only pairs whose band of A is shared with another document can be shared
-                masks = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-                row, band = np.nonzero((masks[:, None] >> np.arange(BANDS)) & 1)
-                keys = _scramble(a[row, band][:, None] * np.uint64(3) + b[row])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids[row], BANDS))], names=["key", "id"])
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(a.ravel().view(np.int64).copy()), pa.array(np.repeat(ids, BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(ids)))], names=["key", "id", "band"])
-
-    return reps.mapInArrow(run, "key long, id long" + (", band int" if not pairs else ""))
-
-
-def _candidates(reps: DataFrame) -> DataFrame:
-    """``(id, leader)``: each representative with the smallest one under each key that it shares; pairs of the same texts once."""
-    single = _keys(reps.select("id", "bands"), pairs=False)
-    # an empty bucket of A rules out all its pairs: counts are pre-aggregated, so a hot key is one row per task
-    busy = single.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    masks = single.join(busy, "key", "left_semi").groupBy("id").agg(F.sum(F.expr("shiftleft(1L, band)")).alias("mask"))
-    keyed = reps.select("id", "bands").join(masks, "id").select("id", "bands", "mask")
-    full = cut(_keys(keyed, pairs=True))
-    leaders = full.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("hi")).where("leader < hi").select("key", "leader")
-    return full.join(leaders, "key").where("id <> leader").select("id", "leader").distinct()
-
-
-def near_duplicates(df: DataFrame, words: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` of every row: component_id is the smallest doc_id reachable over links.
-
-    Documents with the same set are linked. Without words or with a null text a document is linked with nothing.
-    Repeated rows stay, with one class; rows that repeat an id with other texts are classed by their own texts, and sets
-    of which one id is the first are one class; rows with a null doc_id have a null class and name none. Other columns
-    are left out. No bucket, partner or candidate is capped.
+
+def _keyed(marked: DataFrame, *more: str) -> DataFrame:
+    """``(key, id, ...)``: a row for each pair of a band of A and one of B."""
+    rows = marked.select("id", *more, "b", F.explode("a").alias("one")).select("id", *more, "one", F.explode("b").alias("two"))
+    return rows.select(F.xxhash64("one", "two").alias("key"), "id", *more)
+
+
+def _with_set(pairs: DataFrame, end: str, sets: DataFrame, to: str) -> DataFrame:
+    """``pairs`` with the set of the representative in ``end``; one in very many pairs is salted, its set repeated."""
+    salts = pairs.groupBy(end).agg(F.count("*").alias("n")).where(F.col("n") > SALT_ROWS).select(F.col(end).alias("hot"), F.ceil(F.col("n") / SALT_ROWS).cast("long").alias("salts"))
+    salted = pairs.join(salts, F.col(end) == F.col("hot"), "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id", "other"), F.col("salts")), F.lit(0).cast("long"))).drop("hot", "salts")
+    held = sets.join(salts, F.col("id") == F.col("hot"), "left").select(F.col("id").alias("own"), F.col("shingles").alias(to), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1).cast("long")) - 1)).alias("place"))
+    return salted.join(held, (F.col(end) == F.col("own")) & (F.col("salt") == F.col("place"))).drop("own", "place", "salt")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs ``(id, other)`` those whose sets are alike enough."""
+    both = _with_set(_with_set(pairs, "id", sets, "x"), "other", sets, "y")
+    x, y, shared = F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y"))
+    alike = F.when(100 * F.least(x, y) >= percent * F.greatest(x, y), 100 * shared >= percent * (x + y - shared)).otherwise(F.lit(False))
+    return both.where(alike).select("id", "other")
+
+
+def _cross_pairs(rows: DataFrame, key: str, condition: Column | None = None) -> DataFrame:
+    """Distinct ``(id, other)`` of different classes under one key."""
+    right = rows.select(F.col(key).alias("key2"), F.col("id").alias("other"), F.col("cls").alias("cls2"), *[F.col("n").alias("n2")] * ("n" in rows.columns))
+    pairs = rows.join(right, (F.col(key) == F.col("key2")) & (F.col("cls") < F.col("cls2")))
+    pairs = pairs if condition is None else pairs.where(condition)
+    return pairs.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
+
+
+def _several(rows: DataFrame, key: str) -> DataFrame:
+    """Keys with rows of several classes, and their numbers of rows."""
+    return rows.groupBy(key).agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("members")).where("lo < hi").select(key, "members")
+
+
+def _by_prefix(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs among ``members(id, cls)`` that can be linked: those that share a shingle of their prefixes.
+
+    Any one order of all shingles serves; here those with the lowest of COUNTERS counts first. Only the counters come
+    to the driver.
     """
-    own = id_and_text(df, id_col, text_col)
-    sketch = cut(_sketch(own, words))
-    reps = sketch.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    reps = cut(reps)
-    member = sketch.select("doc_id", "n_shingles", "set_key")
-    groups = connected_components(_candidates(reps), "id", "leader").withColumnsRenamed({"node": "id", "component": "grp"})
-    groups = cut(groups)
-    links = _confirmed(own, groups, words, percent)
-    classes = connected_components(links, "id", "other").withColumnsRenamed({"node": "id"})
-    named = reps.select("set_key", "id").join(classes, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
-    joined = member.join(named, "set_key", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-
-
-def _confirmed(own: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
-    """``(id, other)``: links that join all that is linked within the candidate groups."""
-    texts = own.join(groups, own["doc_id"] == groups["id"]).select("id", "grp", "text").dropDuplicates()
-
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = sets.join(members, "id").select("id", "cls", "shingles")
+    counts = np.zeros(COUNTERS, np.int64)
+    for row in held.select(F.explode("shingles").alias("s")).groupBy(F.expr(f"cast(s & {COUNTERS - 1} as int)").alias("slot")).agg(F.count("*").alias("n")).collect():
+        counts[row.slot] = row.n
+    known = members.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_up_cache()
+        counters = known.value
         for batch in rows_of(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shingle_set(x, words).tobytes() for x in batch.column(2).to_pylist()], pa.binary())], names=["id", "grp", "shingles"])
-
-    sets = cut(texts.mapInArrow(to_sets, "id long, grp long, shingles binary"))
-    counted = groups.groupBy("grp").agg(F.count("*").alias("n"), *[F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
-    drawn = F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))
-    pivots = counted.select("grp", "n", F.explode(drawn).alias("id"))
-    tiles = F.ceil(F.col("n") / TILE).cast("long")
-    left = sets.join(pivots.drop("grp"), "id").withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
-    right = sets.join(counted.select("grp", "n"), "grp").withColumn("tile", F.pmod(F.xxhash64("id"), tiles))
-    alone = [x.withColumns({"cls": F.col("id"), "block": F.lit(0).cast("long")}) for x in (left, right)]
-    first = cut(_compared(*alone, percent))
-    classes = connected_components(first, "id", "other").withColumnsRenamed({"node": "id", "component": "cls"})
-    placed = cut(groups.join(classes, "id", "left").select("id", "grp", F.coalesce("cls", "id").alias("cls")))
-    # the largest class of a group needs no comparison within; each member outside it meets all members, tile by tile
-    sizes = placed.groupBy("grp", "cls").agg(F.count("*").alias("n"))
-    # groups of which at most one member was no pivot are done: draws may coincide, so a small group can have more such
-    # members; all counts are pre-aggregated, so a large group is few rows
-    open_groups = counted.where(F.size(drawn) < F.col("n") - 1).select("grp")
-    top = sizes.groupBy("grp").agg(F.max(F.struct("n", "cls")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1").join(open_groups, "grp", "left_semi")
-    tiles = lambda n: F.ceil(n / TILE).cast("long")
-    plan = top.select("grp", F.col("top.cls").alias("top"), tiles(F.col("n")).alias("tiles"), tiles(F.col("n") - F.col("top.n")).alias("blocks"))
-    rows = sets.join(placed.select("id", "cls"), "id").join(plan, "grp")
-    spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    right = rows.withColumn("tile", spread("tiles", 1)).withColumn("block", every("blocks"))
-    left = rows.where("cls <> top").withColumn("block", spread("blocks", 2)).withColumn("tile", every("tiles"))
-    return first.union(_compared(left, right, percent))
-
-
-def _compared(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """``(id, other)``: links between the two sides of each (grp, tile, block); both sides of one fit in memory."""
-    key = ["grp", "tile", "block"]
-    both = [x.select(*key, F.lit(side).alias("side"), "id", "cls", "shingles") for side, x in enumerate((left, right))]
-    rows = both[0].union(both[1]).repartition(*key).sortWithinPartitions(*key, "side", "id")
+            for own, cls, shingles in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                s = np.asarray(shingles.values)
+                n = len(s)
+                first = s[np.lexsort((s, counters[s & (COUNTERS - 1)]))[: n - -(-percent * n // 100) + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(np.full(len(first), own.as_py())), pa.array(np.full(len(first), cls.as_py())), pa.array(np.full(len(first), n, np.int64))], names=["key", "id", "cls", "n"])
+
+    rows = cut(held.mapInArrow(run, "key long, id long, cls long, n long"))
+    rows = rows.join(_several(rows, "key").select("key"), "key", "left_semi")
+    return _cross_pairs(rows, "key", 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sides = None, ([], [])
 
-        def links() -> pa.RecordBatch:
-            found = compare(*sides, percent)
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["id", "other"])
+def near_duplicates(df: DataFrame, words: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", also: Sequence[str] = ()) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, class_no, ...)`` of every row: component_id is the smallest doc_id reachable over links.
 
-        for batch in batches:
-            for *where, side, own, cls, shingles in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if where != now:
-                    if now is not None:
-                        yield links()
-                    now, sides = where, ([], [])
-                sides[side].append((own, cls, np.frombuffer(shingles, np.uint64)))
-        if now is not None:
-            yield links()
+    Documents with the same set are linked. Without words or with a null text a document is linked with nothing, is its
+    own component and has no class_no, a number that the rows of one class share. Repeated rows stay, with one class;
+    rows that repeat an id with other texts are classed by their own texts; a row with a null doc_id belongs to the class
+    of its text and names none, so a class of such rows alone has a null component_id. The columns of ``also`` come along;
+    others are left out. An empty table gives an empty one. No bucket, partner or candidate is capped.
+    """
+    extra = {f"__also_{k}": x for k, x in enumerate(also)}
+    own = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{x}`").alias(k) for k, x in extra.items()])
+    own = own.withColumn("text_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    sketch = cut(_sketch(own, words))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
+    reps = sketch.where("set_key is not null").groupBy("set_key").agg(first.alias("row"), F.first("bands").alias("bands"))
+    reps = cut(reps.select("set_key", "row.doc_id", "row.text_key", "bands", F.monotonically_increasing_id().alias("id")))
+    classes = connected_components(_confirmed(own, reps, words, percent), "id", "other")
+    named = reps.select("set_key", "id", F.col("doc_id").alias("first_id")).join(classes, F.col("id") == F.col("node"), "left").select("set_key", "first_id", F.coalesce("component", "id").alias("class_no"))
+    named = cut(named)
+    least = named.groupBy("class_no").agg(F.min("first_id").alias("component_id"))
+    joined = sketch.select("doc_id", "n_shingles", "set_key", *extra).join(named.join(least, "class_no").select("set_key", "class_no", "component_id"), "set_key", "left")
+    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), "class_no", *[F.col(k).alias(x) for k, x in extra.items()])
+
+
+def _confirmed(own: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    """``(id, other)``: links that join all candidates that are linked."""
+    part = lambda at: F.slice("bands", at, BANDS)
+    a = cut(_busy(reps.select("id", part(1).alias("bands")), "bands", "a"))
+    b = _busy(reps.join(a, "id", "left_semi").select("id", part(1 + BANDS).alias("bands")), "bands", "b")
+    marked = cut(a.join(b, "id"))
+    keyed = _keyed(marked)
+    leaders = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("hi")).where("leader < hi").select("key", "leader")
+    star = cut(keyed.join(leaders, "key").where("id <> leader").groupBy("id").agg(F.min("leader").alias("other")))
+    met = star.select("id").union(leaders.select("leader")).distinct()
+    sets = cut(_sets(own, reps.join(met, "id", "left_semi"), words))
+    links = cut(_links(star, sets, percent))
+    tried = star.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"))
+    if star.isEmpty():
+        return links
+
+    def classed(rows: DataFrame) -> DataFrame:
+        known = connected_components(links, "id", "other").select(F.col("node").alias("id"), F.col("component").alias("now"))
+        return rows.drop("cls").join(known, "id", "left").withColumn("cls", F.coalesce("now", "id")).drop("now")
+
+    keyed = _keyed(cut(classed(marked)), "cls")
+    rows = cut(keyed.join(_several(keyed, "key"), "key"))
+    for turn in range(1, ROUNDS):
+        order = F.xxhash64("id", F.lit(turn))
+        heads = rows.groupBy("key").agg(F.min(F.struct(order.alias("h"), F.col("id").alias("leader"), F.col("cls").alias("lead"))).alias("head"))
+        star = rows.join(heads, "key").where("cls <> head.lead").groupBy("id").agg(F.min("head").alias("head")).select("id", F.col("head.leader").alias("other"))
+        star = cut(star.join(tried, (F.least(star["id"], star["other"]) == tried["id"]) & (F.greatest(star["id"], star["other"]) == tried["other"]), "left_anti"))
+        if star.isEmpty():
+            break
+        links = cut(links.union(_links(star, sets, percent)))
+        tried = cut(tried.union(star.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"))).distinct())
+        rows = classed(rows.drop("members"))
+        rows = cut(rows.join(_several(rows, "key"), "key"))
+    pairs = _cross_pairs(rows.where(F.col("members") <= FEW).select("key", "id", "cls"), "key")
+    members = cut(rows.where(F.col("members") > FEW).select("id", "cls").distinct())
+    if not members.isEmpty():
+        pairs = pairs.union(_by_prefix(members, sets, percent)).distinct()
+    return links.union(_links(cut(pairs.join(tried, ["id", "other"], "left_anti")), sets, percent))
+
+
+def _sets(own: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``(id, shingles)`` of representatives, from the texts of the rows that they stand for."""
+    find = wanted.select("id", F.col("doc_id").alias("of"), F.col("text_key").alias("text_of"))
+    texts = own.select("doc_id", "text_key", "text").join(find, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("text_of")))
+    texts = texts.groupBy("doc_id", "text_key").agg(F.first("id").alias("id"), F.first("text").alias("text")).select("id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up_cache()
+        for batch in rows_of(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), _longs([shingle_set(x.as_py(), words) for x in batch.column(1)])], names=["id", "shingles"])
 
-    return rows.mapInArrow(run, "id long, other long")
+    return texts.mapInArrow(run, "id long, shingles array<long>")
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of ``documents`` by 2-word shingles; null and odd rows as in ``near_duplicates``, ``kept`` false for null ids."""
     found = near_duplicates(read_table(spark, sf_dir, "documents"), words=2)
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 

@@ -12,25 +12,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill.llm import neardup, packing, pii, quality
-from voxmill.session import read_table, shared_dir
+from voxmill.session import cut, read_table, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier scores at its threshold or above; it learns from labels that aren't held out."""
+    """Rows that the classifier scores at its threshold or above; it learns from labels that aren't held out.
+
+    A null text counts as empty and has a score; repeated rows are scored alike; an empty table gives an empty one.
+    """
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
     return quality.score(docs, model).where(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+    """One row of each group of near duplicates, that with the smallest id: five-word shingles, similarity 0.8 or more.
 
-    Of rows that repeat an id one stays; rows with a null id stay.
+    Rows are told apart by all their columns, so rows that repeat an id with other texts are judged by their own texts;
+    null ids come last in a group. A row without words is in no group and stays. Rows equal in every column are one row.
     """
-    kept = neardup.near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
-    return named.union(docs.where("doc_id is null").select(*COLUMNS))
+    shown = [F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-")) for x in (F.col(c).cast("string") for c in COLUMNS)]
+    rows = docs.select(*COLUMNS, F.unhex(F.sha2(F.concat(*shown), 256)).alias("row"))
+    classes = cut(neardup.near_duplicates(rows, also=["row"]))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    first = classes.where("class_no is not null").groupBy("class_no").agg(F.min(order).alias("first")).select("first.row")
+    kept = first.union(classes.where("class_no is null").select("row")).distinct().withColumnRenamed("row", "kept")
+    single = rows.groupBy("row").agg(*[F.first(c).alias(c) for c in COLUMNS])
+    return single.join(kept, F.col("row") == F.col("kept"), "left_semi").select(*COLUMNS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +50,10 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the tokenised texts with their places in sequences of at most 2048 ids; ``ids`` as 32-bit integers."""
+    """Pieces of the tokenised texts with their places in sequences of at most 2048 ids; ``ids`` as 32-bit integers.
+
+    A null or empty text is its end id alone; null ids stay null; repeated rows stay apart; an empty table has no pieces.
+    """
     import public_tokenizers
 
     return packing.packed_texts(docs, public_tokenizers.path("word_bpe_49k.json"))

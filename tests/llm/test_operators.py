@@ -175,16 +175,58 @@ def test_op3_later_runs_and_hinted_wrappers():
     assert html.main_text(page(f"<div class=related><article>Teaser.</article></div><p>{text(200)}</p>")) == text(200)
 
 
+def test_op3_windows_decide(monkeypatch):
+    """Pages without any known tag or class name: sums over windows find the article; single lines mislead."""
+    box = lambda *lines: "<div>" + "".join(f"<p>{x}</p>" for x in lines) + "</div>"
+    talk = [f"Line number {i} of the talk here." for i in range(12)]
+    advert = "One rather long line of an advertisement that no name gives away to anybody at all, so there."
+    source = "<body>" + "<div><a href='/a'>Home</a> <a href='/b'>News</a></div>" + box(advert) + box("The talk", *talk, "The end.") + box("Imprint and terms") + "</body>"
+    want = " ".join(["The talk", *talk, "The end."])
+    assert html.main_text(source) == want
+    monkeypatch.setattr(html, "WINDOW", 1)
+    assert html.main_text(source) != want
+
+
+def test_op3_unmarked_pages():
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    unmarked = lambda h: re.sub("(</?)article>", r"\1div>", h)
+    unnamed = lambda h: re.sub(r"<(/?)(?:nav|footer|article)\b[^>]*>", r"<\1div>", re.sub(' class="[^"]*"', "", h))
+    assert all(html.main_text(unmarked(r["html"])) == whole_article(r["html"]) for r in pages)
+    assert sum(html.main_text(unnamed(r["html"])) == whole_article(r["html"]) for r in pages) > 0.95 * len(pages)
+
+
+def test_op3_names_of_real_content():
+    text = "Words of this part, and quite some more of them, so that nobody takes it for a menu. " * 2
+    for name in ("related-work", "side-effects", "sharecropping", "commentary", "headers"):
+        assert html.main_text(page(f"<div><p>{text}</p><div class='{name}'><p>{text}</p></div></div>")) == f"{text}{text}".strip(), name
+    for name in ("comment-list", "sidebar-right", "cookie-notice", "related-posts", "ad-box"):
+        assert html.main_text(page(f"<div><p>{text}</p><div class='x {name}'><p>{text}</p></div></div>")) == text.strip(), name
+
+
+@pytest.mark.parametrize("source", ["<a " * 350_000, "<" * 1_000_000, "<div>" * 90_000 + "</b>" * 90_000, '<a "' * 250_000 + ">", "<p>a'\"<b " * 100_000, "<article><div class=ad>" * 45_000, "<p>word</p>" * 90_000])
+def test_op3_long_pages_take_linear_time(source):
+    import time
+
+    began = time.process_time()
+    html.main_text(source)
+    assert time.process_time() - began < 8  # a few seconds on a slow machine; quadratic ways take minutes
+
+
+def whole_article(source):
+    import html as std
+
+    inner = re.search(r"<article>(.*?)(?:</article>|\Z)", source, re.S)[1]
+    return " ".join(std.unescape(re.sub(r"<[^>]*>", "\n", inner.replace("<b>", ""))).split())
+
+
 def test_op3_query_whole_article(spark):
     pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     rows = html.op3_html_extraction(spark, SF).collect()
     assert len(rows) == len(pages)
-    import html as std
-
     for r in rows:
-        inner = re.search(r"<article>(.*?)(?:</article>|\Z)", pages[r.page_id].html, re.S)[1]
-        plain = std.unescape(re.sub(r"<[^>]*>", "\n", inner.replace("<b>", "")))
-        assert r.text == " ".join(plain.split()) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
+        assert r.text == whole_article(pages[r.page_id].html) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
     odd = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>a</p>", "y"), (1, None, None, "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in html.extract(odd).collect()) == [(0, "a"), (1, ""), (1, "")]
     assert html.extract(odd.limit(0)).count() == 0

@@ -1,16 +1,22 @@
 """Op 3, main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one per block element. A line's weight is the length of its text outside links; text in
-elements that never hold the article (menus, headers, footers, sidebars, notices, adverts, forms, comments) weighs
-nothing, and where a page marks its article, only text in it weighs. The weights are summed over windows of
-neighbouring lines; a surge begins a run of text and a dive to nothing ends it; the heaviest run is the article, with
-the runs beside it that aren't mostly links.
+Markup is stripped into lines, one per block element; a line's weight is the length of its text outside links. The
+weights are summed over windows of neighbouring lines of one container (a body, div, section or the like). Where the
+sums surge to SURGE characters a run of text begins, and it dives where they fall below. The container of the heaviest
+run is the article's; it widens to an outer one as long as that adds more text in runs than beside them, and to a whole
+body only if that adds half as much again. What lies in it is the text, so a short heading or last paragraph stays; lone
+short containers before the first surge and after the last dive of a whole body don't.
+
+Tags and names are signals beside the windows: text in elements that never hold the article (nav, footer, aside, form
+and so on) weighs nothing, nor does text in elements named as adverts, sidebars, comments and the like, unless the page
+has no run elsewhere; an article or main widens only to what at least doubles it. The parser is linear in the page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,42 +27,64 @@ from pyspark.sql import functions as F
 from voxmill.llm.tokens import rows_of
 from voxmill.session import read_table
 
-#: Lines that a window sums.
-WINDOW = 3
+#: Lines that a window sums, and characters in a window at which a run begins; less where a page has no such window.
+WINDOW, SURGE = 3, 80
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
+#: A comment, a declaration, or a tag with its quoted values; each try ends where it fails, without another way.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>", re.S)
+#: A tag whose quotes don't close before the page's end.
+_BARE = re.compile(r"</?[a-zA-Z][^>]*>")
+_ODD = re.compile(r"<[!?]")
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _MARKS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "select"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _BLOCK = set("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
+_CONTAINER = set("article aside body center details dialog div fieldset footer form header html main menu nav search section".split())
 _OUT = {"nav", "header", "footer", "aside", "form", "menu", "button", "dialog", "fieldset", "search"}
 _IN = {"article", "main"}
-_HINT = re.compile(r"(?<![a-z])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|popup|modal|newsletter|subscribe|comments?|replies|disqus|sidebar|side|widget|related|recommend\w*|share|sharing|social|breadcrumbs?|menu|nav\w*|footer|header|masthead|pagination|pager|login|signup|search|complementary|contentinfo|alert)(?![a-z])", re.I)
-#: Names of a layout or of an article's own head, which hold a hint word and hint at nothing.
-_NO_HINT = re.compile(r"(?<![a-z0-9])(?:(?:has|with|without|no)[-_]\S+|(?:entry|post|article|story|content|page)[-_]+header(?![a-z]))", re.I)
+_HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Whole class or id names of what isn't the article.
+_HINT = re.compile(
+    r"(?:(?:top|main|site|page|left|right|bottom|primary|secondary|mobile|global|post|google)[-_]?)?"
+    r"(?:ads?|adverts?|advertisement|advertising|banner|sponsor|sponsored|promo|promoted|promotion|cookies?|consent|notice|notification|popup|modal|newsletter|subscribe|subscription"
+    r"|comments?|respond|responses|replies|disqus|sidebar|side|widget|related|recommended|recommendations|share|sharing|social|breadcrumbs?|menu|nav|navbar|navigation"
+    r"|footer|header|masthead|pagination|pager|login|signup|search|complementary|contentinfo|alert|toc)"
+    r"(?:[-_]?(?:left|right|top|bottom|box|bar|block|area|list|container|wrapper|wrap|section|banner|notice|posts?|articles?|stories|links?|menu|items?|form|widget|buttons?|icons?|inner|thread|[0-9]+))*",
+    re.I,
+)
 _HINTED = {"div", "section", "ul", "ol", "p", "span", "table", "details", "figure", "li", "dl"}
+_SPLIT = re.compile(r"[\s\"']+")
 #: In HTML white space is these characters; a no-break space from a reference is white space too once decoded.
 _WHITE = re.compile(r"\s+")
 
 
 class _Lines:
+    """Lines of text, and for each its characters in links, its place and its container."""
+
     def __init__(self):
         self.texts: list[str] = []
         self.linked: list[int] = []
-        self.kinds: list[int] = []  # -1: in an excluded element, 1: in a marked article, 1 + n: in one within n hinted elements, 0: neither
-        self.parts: list[tuple[str, bool, int]] = []
+        self.shut: list[bool] = []  # in an element that never holds the article
+        self.hints: list[int] = []  # elements around it that are named as something else
+        self.marked: list[bool] = []  # in an article or main
+        self.heading: list[bool] = []
+        self.at: list[int] = []  # container
+        #: Containers in the order of their begin: the one around, whether an article or main, the number after the last inner one.
+        self.parent, self.is_in, self.whole, self.last = [0], [False], [True], [1]
+        self.parts: list[tuple[str, bool, tuple]] = []
 
     def end(self) -> None:
-        """A line ends; what is excluded in it makes a line of its own."""
-        run: list[tuple[str, bool, int]] = []
+        """A line ends; what lies in elements of different kinds makes lines of its own."""
+        run: list[tuple[str, bool, tuple]] = []
         for part in [*self.parts, None]:
             if run and (part is None or part[2] != run[-1][2]):
                 raw = html.unescape("".join(x[0] for x in run))
                 if text := _WHITE.sub(" ", raw).strip():
                     self.texts.append(text)
                     self.linked.append(sum(len(x[0]) for x in run if x[1]))
-                    self.kinds.append(run[-1][2])
+                    for held, value in zip((self.shut, self.hints, self.marked, self.heading, self.at), run[-1][2], strict=True):
+                        held.append(value)
                 run = []
             if part is not None:
                 run.append(part)
@@ -64,28 +92,43 @@ class _Lines:
 
 
 def lines_of(page: str) -> _Lines:
-    """The page's lines of text; unclosed and stray tags are tolerated."""
+    """The page's lines of text; unclosed and stray tags are tolerated. Linear: a closing tag without an open one is passed
+    over by a count of names, and every tag that another one closes leaves the stack."""
     out, at = _Lines(), 0
-    stack: list[tuple[str, int]] = []  # open elements: name, and 1 for an article, -1 for an excluded one, -2 for a hinted one
-    shut = inside = links = 0
-    lifted: list[tuple[int, int]] = []  # an article within hinted elements: its place in the stack, and their number
-    find = _TOKEN.search
-
-    def kind_now() -> int:
-        return -1 if shut else 1 + (lifted[0][1] if lifted else 0) if inside else 0
-
-    def close(depth: int) -> None:
-        nonlocal shut, inside
-        while len(stack) > depth:
-            _, kind = stack.pop()
-            shut -= kind < 0
-            inside -= kind > 0
-            if lifted and lifted[0][0] == len(stack):
-                shut += lifted.pop()[1]
-
-    while token := find(page, at):
-        if token.start() > at:
-            out.parts.append((page[at : token.start()], links > 0, kind_now()))
+    stack: list[tuple[str, str, int]] = []  # open elements: name, kind, container around
+    names: Counter[str] = Counter()
+    kinds: Counter[str] = Counter()
+    now = links = 0
+    final, quotes = page.rfind(">"), True
+
+    def state() -> tuple:
+        return kinds["out"] > 0, kinds["hint"], kinds["in"] > 0, kinds["heading"] > 0, now
+
+    def close() -> str:
+        nonlocal now
+        name, kind, now_before = stack.pop()
+        names[name] -= 1
+        kinds[kind] -= 1
+        if now_before != now:
+            out.last[now] = len(out.parent)
+            now = now_before
+        return name
+
+    while (start := page.find("<", at)) >= 0:
+        token = None
+        if start < final or page[start + 1 : start + 2] in ("!", "?"):
+            token = (_TOKEN if quotes or page[start + 1] in "!?" else _BARE).match(page, start)
+            if token is None and quotes and (token := _BARE.match(page, start)):
+                quotes = False  # some quote is never closed: from here on quotes are ordinary
+        if token is None:
+            following = _ODD.search(page, start) if start > final else None
+            ending = page.find("<", start + 1) if start < final else following.start() if following else -1
+            ending = len(page) if ending < 0 else ending
+            out.parts.append((page[at:ending], links > 0, state()))
+            at = ending
+            continue
+        if start > at:
+            out.parts.append((page[at:start], links > 0, state()))
         at, mark = token.end(), token.group()
         if mark[1] in "!?":
             continue
@@ -95,9 +138,9 @@ def lines_of(page: str) -> _Lines:
         if mark[1] == "/":
             if name == "a":
                 links = 0
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is not None:
-                close(depth)
+            if names[name]:
+                while close() != name:
+                    pass
             continue
         if name in _RAW:
             if not mark.endswith("/>"):
@@ -109,19 +152,39 @@ def lines_of(page: str) -> _Lines:
         if name in _VOID or mark.endswith("/>"):
             continue
         if name in _BLOCK or name in _HINTED:
-            hinted = name in _HINTED and any(_HINT.search(_NO_HINT.sub("", x)) for x in _MARKS.findall(mark))
-            kind = -1 if name in _OUT and not (name == "header" and inside) else -2 if hinted else 1 if name in _IN else 0
+            hinted = name in _HINTED and any(_HINT.fullmatch(x) for marks in _MARKS.findall(mark) for x in _SPLIT.split(marks))
+            kind = "out" if name in _OUT and not (name == "header" and kinds["in"]) else "hint" if hinted else "in" if name in _IN else "heading" if name in _HEADING else ""
             if name in ("p", "li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == name:
-                close(len(stack) - 1)  # closed by its like
-            if kind > 0 and shut and not inside and not any(k == -1 for _, k in stack):
-                lifted.append((len(stack), shut))
-                shut = 0
-            stack.append((name, kind))
-            shut += kind < 0
-            inside += kind > 0
+                close()  # closed by its like
+            stack.append((name, kind, now))
+            names[name] += 1
+            kinds[kind] += 1
+            if name in _CONTAINER:
+                out.parent.append(now)
+                out.is_in.append(name in _IN)
+                out.whole.append(name in ("body", "html"))
+                out.last.append(0)
+                now = len(out.parent) - 1
     if at < len(page):
-        out.parts.append((page[at:], links > 0, kind_now()))
+        out.parts.append((page[at:], links > 0, state()))
     out.end()
+    while stack:
+        close()
+    out.last[0] = len(out.parent)
+    return out
+
+
+def window_sums(weight: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums over WINDOW neighbouring lines of the same container, centred on each line."""
+    order = np.argsort(at, kind="stable")
+    w, c = weight[order], at[order]
+    sums = w.copy()
+    for step in range(1, WINDOW // 2 + 1):
+        same = c[step:] == c[:-step]
+        sums[step:] += np.where(same, w[:-step], 0)
+        sums[:-step] += np.where(same, w[step:], 0)
+    out = np.empty_like(sums)
+    out[order] = sums
     return out
 
 
@@ -130,32 +193,49 @@ def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
     if not lines.texts:
         return ""
-    kinds = np.array(lines.kinds)
     lengths = np.array([len(x) for x in lines.texts])
-    free = lengths - np.minimum(lines.linked, lengths)
-    if (kinds > 0).any():  # of marked articles the ones in the fewest hinted elements; in any, they may be teasers beside the text
-        least = kinds[kinds > 0].min()
-        if least > 1 and lengths[kinds == least].sum() < free[kinds == 0].sum():
-            least = 0
-        kinds = np.where(kinds > 0, np.where(kinds == least, 1, -1), kinds)
-    marked = (kinds > 0).any()
-    weight = np.where(kinds < 0, 0, np.where(marked & (kinds == 0), 0, lengths if marked else free))
-    windows = np.convolve(weight, np.ones(WINDOW, int), "same") if len(weight) >= WINDOW else np.full(len(weight), weight.sum())
-    runs = []  # surge and dive: from the first to the last line with weight while the windows don't fall to nothing
-    start = None
-    for k in range(len(weight) + 1):
-        alive = k < len(weight) and windows[k] > 0 and (weight[k] > 0 or start is not None)
-        if alive and start is None:
-            start = k
-        elif not alive and start is not None:
-            runs.append((start, k))
-            start = None
-    if not runs:
+    hints, marked, at = np.array(lines.hints), np.array(lines.marked), np.array(lines.at)
+    free = np.where(marked, lengths, lengths - np.minimum(lines.linked, lengths))
+    free[np.array(lines.shut)] = 0
+    for level in np.unique(hints[free > 0]):  # the fewest hints at which there is a run, a marked article or a quarter of the text
+        weight = np.where(hints <= level, free, 0)
+        windows = window_sums(weight, at)
+        if windows.max() >= SURGE or 4 * weight.sum() >= free.sum() or (weight[marked] > 0).any():
+            break
+    else:
         return ""
-    best = max(runs, key=lambda r: (weight[r[0] : r[1]].sum(), -r[0]))
-    plain = lambda r: 2 * weight[r[0] : r[1]].sum() >= lengths[r[0] : r[1]][kinds[r[0] : r[1]] == 0].sum()
-    keep = runs if marked else [r for r in runs if r == best or plain(r)]
-    return " ".join(lines.texts[k] for a, b in keep for k in range(a, b) if weight[k] > 0 or (not marked and kinds[k] == 0))
+    surge = (windows >= min(SURGE, windows.max() / 2)) & (weight > 0)
+    n = len(lines.parent)
+    core, rest = (np.bincount(at, np.where(x, weight, 0), n) for x in (surge, ~surge))
+    best = int(core.argmax())
+    for inner in range(n - 1, 0, -1):  # an inner container has the larger number
+        core[lines.parent[inner]] += core[inner]
+        rest[lines.parent[inner]] += rest[inner]
+    chosen = outer = best
+    bound = lines.is_in[best]
+    while outer:
+        outer = lines.parent[outer]
+        more = core[outer] - core[chosen]
+        if more > max(rest[outer] - rest[chosen], core[chosen] if bound else core[chosen] / 2 if lines.whole[outer] else 0):
+            chosen, bound = outer, False
+        bound = bound or lines.is_in[outer]
+    inside = (at >= chosen) & (at < lines.last[chosen])
+    keep = inside & (weight > 0)
+    # links alone stay where text goes on within a window of them; elsewhere they are a menu
+    own = np.flatnonzero(inside & (hints <= level) & ~np.array(lines.shut))
+    texts = np.flatnonzero(keep[own])
+    for k in range(len(own)):
+        if not keep[own[k]]:
+            after = np.searchsorted(texts, k)
+            if 0 < after < len(texts) and texts[after] - texts[after - 1] <= WINDOW:
+                keep[own[k]] = True
+    if lines.whole[chosen]:  # a whole body: its short containers outside the runs are something else
+        first, last = (np.flatnonzero(surge & inside)[k] for k in (0, -1))
+        place = np.arange(len(at))
+        headed = np.bincount(at, np.array(lines.heading), n) > 0
+        busy = np.bincount(at, surge, n) > 0
+        keep &= ((place >= first) & (place <= last)) | (at == chosen) | busy[at] | headed[at]
+    return " ".join(x for x, k in zip(lines.texts, keep, strict=True) if k)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -175,4 +255,5 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every row of ``pages``; null and empty html give an empty text, repeated rows stay."""
     return extract(read_table(spark, sf_dir, "pages"))

@@ -574,6 +574,18 @@ GNU General Public License for more details.
 You should have received a copy of the GNU General Public License
 along with this program.  If not, see <https://www.gnu.org/licenses/>.
 """
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY DAMAGES.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
 APACHE = """Copyright 2020 Some One
 
 Licensed under the Apache License, Version 2.0 (the "License");
@@ -583,15 +595,23 @@ You may obtain a copy of the License at
     http://www.apache.org/licenses/LICENSE-2.0
 
 Unless required by applicable law or agreed to in writing, software
-distributed under the License is distributed on an "AS IS" BASIS.
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
 """
 
 
 def test_op8_whole_wrapped_licences(spark):
     commented = lambda t: "".join(f" * {x}".rstrip() + "\r\n" for x in t.splitlines())
-    want = {MIT: ["MIT"], BSD2: ["BSD-2-Clause"], BSD3: ["BSD-3-Clause"], GPL: ["GPL"], APACHE: ["Apache-2.0"]}
+    lesser = GPL.replace("GNU General", "GNU Lesser General")
+    gpl2 = GPL.replace("program is free software:", "program is free software;").replace("Foundation, either version 3", "Foundation; either version 2")
+    lgpl21 = gpl2.replace("GNU General", "GNU Lesser General").replace("program", "library").replace("version 2 ", "version 2.1 ")
+    want = {MIT: ["MIT"], BSD2: ["BSD-2-Clause"], BSD3: ["BSD-3-Clause"], GPL: ["GPL-3.0-or-later"], gpl2: ["GPL-2.0-or-later"], lesser: ["LGPL-3.0-or-later"], lgpl21: ["LGPL-2.1-or-later"], APACHE: ["Apache-2.0"], ISC: ["ISC"], MPL: ["MPL-2.0"]}
+    want |= {GPL.replace("GNU General", "GNU Affero General"): ["AGPL-3.0-or-later"], "\t\tGNU GENERAL PUBLIC LICENSE\n\t\t   Version 2, June 1991\n\n Copyright (C) 1989": ["GPL-2.0"], "This work is licensed under a Creative Commons Attribution-ShareAlike\n4.0 International License.": ["CC-BY-SA-4.0"]}
     cases = [(f(t), w) for t, w in want.items() for f in (str, commented)]
     cases += [("A title\nReleased under the\nMIT License.", ["MIT"]), ("Released under the\n\nMIT License.", []), ("line\nReleased under the MIT License\nline", ["MIT"]), ("." * 50_000 + "\n" * 50_000, [])]
+    cases += [(" ".join(t.split()), w) for t, w in want.items() if "Version" not in t] + [("word " * 100_000 + "\n\n" + MIT, ["MIT"])]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
     got = {r.doc_id: r.licenses for r in licenses.scan(df).collect()}
     assert got == {i: w for i, (_, w) in enumerate(cases)}
+    odd = spark.createDataFrame([(None, MIT), (1, MIT), (1, MIT)], "doc_id long, text string")
+    assert [(r.doc_id or 0, r.licenses) for r in licenses.scan(odd).orderBy("doc_id").collect()] == [(0, ["MIT"]), (1, ["MIT"]), (1, ["MIT"])]

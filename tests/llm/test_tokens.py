@@ -120,6 +120,9 @@ def test_elias_fano_round_trip():
         back, _ = elias_fano.EliasFano.from_bytes(memoryview(b"xx" + made.to_bytes()), 2)
         assert back.all().tolist() == values
         assert all(back.select(i) == values[i] for i in range(0, len(values), max(1, len(values) // 97)))
+        for a in range(0, len(values), max(1, len(values) // 11)):
+            for b in (a + 1, a + 255, a + 256, a + 700, len(values)):
+                assert back.between(a, min(b, len(values))).tolist() == values[a : min(b, len(values))]
 
 
 def test_elias_fano_is_small():
@@ -143,6 +146,11 @@ def test_op10_files_round_trip(spark, tmp_path):
         at += r.n_tokens
         want[r.doc_id].remove(np.frombuffer(r.ids, "<u4").tolist())
     assert not any(want.values())
+    digests = sorted(elias_fano.read_token_files(spark, path, digests=True).collect(), key=lambda r: r.start)
+    assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in digests] == [(r.doc_id, r.start, r.n_tokens, zlib.crc32(r.ids)) for r in rows]
+    frame(spark, texts).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert elias_fano.op10_elias_fano_output(spark, str(tmp_path)).count() == 0
+    assert packing.op9_best_fit_packing(spark, str(tmp_path)).count() == 0
 
 
 def test_op10_file_finds_a_document(spark, tmp_path):

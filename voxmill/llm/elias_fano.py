@@ -4,7 +4,7 @@ A file: a header, the ids of all its documents in one array (2 bytes each if eve
 and the documents' ids, both as Elias-Fano sequences, and a checksum. An Elias-Fano sequence of n values below u holds
 the low ``log2(u / n)`` bits of each value in a packed array and the high parts in unary in a bit vector, about
 ``2 + log2(u / n)`` bits a value; the place of every 256th set bit is stored, so one offset is found without decoding
-the rest and without a table of 64-bit offsets.
+the rest and without a table of 64-bit offsets. The text sink, which writes the files, puts a line end after each.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ END_ID = 2
 FILE_IDS = 4_000_000
 #: magic, bytes an id, spare, documents with a null id, documents, ids, place of the file
 _HEADER = struct.Struct("<4sBBHQQQQ")
-#: values, base, upper bound less base, low bits, bytes of low part, bytes of high part, samples
-_PART = struct.Struct("<QqQBQQQ")
+#: Documents that a reader finds at once.
+BLOCK = 512
+#: values, base, low bits, bytes of low part, bytes of high part, samples
+_PART = struct.Struct("<QqBQQQ")
 
 
 class EliasFano:
@@ -60,11 +62,11 @@ class EliasFano:
 
     def to_bytes(self) -> bytes:
         low, high, samples = self.low.tobytes(), self.high.tobytes(), self.samples.astype("<u4").tobytes()
-        return _PART.pack(self.n, self.base, 0, self.low_bits, len(low), len(high), len(self.samples)) + low + high + samples
+        return _PART.pack(self.n, self.base, self.low_bits, len(low), len(high), len(self.samples)) + low + high + samples
 
     @classmethod
     def from_bytes(cls, data: memoryview, at: int) -> tuple[EliasFano, int]:
-        n, base, _, low_bits, low, high, samples = _PART.unpack_from(data, at)
+        n, base, low_bits, low, high, samples = _PART.unpack_from(data, at)
         at += _PART.size
         parts = []
         for size, kind in ((low, np.uint8), (high, np.uint8), (4 * samples, np.dtype("<u4"))):
@@ -86,6 +88,18 @@ class EliasFano:
         highs = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
         return self._signed((highs.astype(np.uint64) << np.uint64(self.low_bits)) | self._lows(0, self.n))
 
+    def between(self, first: int, stop: int) -> np.ndarray:
+        """Values ``first`` to ``stop - 1``: from the sample before on, only the bytes that hold their bits are read."""
+        if not 0 <= first < stop <= self.n:
+            return np.zeros(0, np.int64)
+        begin, after = first - first % SAMPLE, -(-stop // SAMPLE)
+        start = int(self.samples[begin // SAMPLE])
+        end = int(self.samples[after]) if after < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[start // 8 : end // 8 + 1], bitorder="little")[start % 8 :]
+        places = np.flatnonzero(bits)[first - begin : stop - begin] + start
+        highs = (places - np.arange(first, stop)).astype(np.uint64)
+        return self._signed((highs << np.uint64(self.low_bits)) | self._lows(first, stop - first))
+
     def select(self, i: int) -> int:
         """The i-th value: from the nearest sample on, only the bytes up to its bit are read."""
         if not 0 <= i < self.n:
@@ -103,12 +117,15 @@ def file_bytes(docs: list[int | None], ids: list[bytes], place: int) -> bytes:
     flat = np.frombuffer(b"".join(ids), "<u4")
     width = 2 if not len(flat) or int(flat.max()) < 1 << 16 else 4
     nulls = sum(x is None for x in docs)
-    body = _HEADER.pack(MAGIC, width, 0, 0, nulls, len(docs), len(flat), place) + flat.astype(f"<u{width}").tobytes()
-    body += EliasFano.of(np.cumsum([len(x) // 4 for x in ids])).to_bytes() + EliasFano.of(np.array(docs[nulls:], np.int64)).to_bytes()
-    return body + struct.pack("<I", zlib.crc32(body))
+    parts = [_HEADER.pack(MAGIC, width, 0, 0, nulls, len(docs), len(flat), place), flat.astype(f"<u{width}").tobytes()]
+    parts += [EliasFano.of(np.cumsum([len(x) // 4 for x in ids])).to_bytes(), EliasFano.of(np.array(docs[nulls:], np.int64)).to_bytes()]
+    check = 0
+    for x in parts:
+        check = zlib.crc32(x, check)
+    return b"".join([*parts, struct.pack("<I", check)])
 
 
-def place_and_ids(content: bytes) -> tuple[int, int]:
+def place_and_ids(content: pa.Buffer) -> tuple[int, int]:
     """A file's place and number of ids, from its header alone."""
     head = _HEADER.unpack_from(content)
     return head[7], head[6]
@@ -132,6 +149,13 @@ class TokenFile:
     def doc_ids(self) -> list[int | None]:
         return [None] * self.nulls + self._docs.all().tolist()
 
+    def block(self, first: int, stop: int) -> tuple[list[int | None], np.ndarray]:
+        """Ids of the documents ``first`` to ``stop - 1``, and the places where they begin and the last one ends."""
+        ends = self.ends.between(first, stop)
+        begin = self.ends.select(first - 1) if first else 0
+        docs = [None] * max(0, min(stop, self.nulls) - first)
+        return docs + self._docs.between(max(first - self.nulls, 0), stop - self.nulls).tolist(), np.concatenate([[begin], ends])
+
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)].astype("<u4")
 
@@ -171,43 +195,51 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, id_col: str = "d
     rows.mapInArrow(run, "file binary").select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).mode("overwrite").text(path)
 
 
-def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids)`` of all files: start counts the ids of all documents before.
+def read_token_files(spark: SparkSession, path: str, digests: bool = False) -> DataFrame:
+    """``(doc_id, start, n_tokens, ids)`` of all files: start counts the ids of all documents before; with ``digests``
+    ``ids_crc32`` in place of ``ids``. Nothing written gives an empty table.
 
-    The files' totals are summed in order of place, first in runs of files and then over the runs' totals, so no single
-    task has to take every file.
+    Documents are found through the files' select structures, a block of neighbours at a time. With digests the files are
+    read once; their rows are small and are kept, and the files' totals come from these. The totals are summed in order of
+    place, first in runs of files and then over the runs' totals, so no single task has to take every file.
     """
+    kind, name = (pa.int64(), "ids_crc32") if digests else (pa.binary(), "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                file = TokenFile(content.as_py())
-                ends, docs, wide = file.ends.all(), file.doc_ids(), file.ids.astype("<u4")
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-                for at in range(0, len(docs), 2048):
-                    s, e = starts[at : at + 2048], ends[at : at + 2048]
-                    ids = [wide[a:b].tobytes() for a, b in zip(s.tolist(), e.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(docs[at : at + 2048], pa.int64()), pa.array(s, pa.int64()), pa.array(e - s, pa.int64()), pa.array(ids, pa.binary()), pa.array([file.place] * len(s), pa.int64())], names=["doc_id", "at", "n_tokens", "ids", "place"])
+                file = TokenFile(content.as_buffer())
+                for first in range(0, file.n_docs, BLOCK):
+                    docs, cuts = file.block(first, min(first + BLOCK, file.n_docs))
+                    ids = [file.ids[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                    ids = list(map(zlib.crc32, ids)) if digests else ids
+                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(cuts[:-1], pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array(ids, kind), pa.array([file.place] * len(docs), pa.int64())], names=["doc_id", "at", "n_tokens", name, "place"])
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads = [place_and_ids(x.as_py()) for x in batch.column(0)]
+            heads = [place_and_ids(x.as_buffer()) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in heads], pa.int64()) for k in (0, 1)], names=["place", "n"])
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    totals = cut(files.mapInArrow(sizes, "place long, n long")).withColumn("run", F.shiftright("place", 32).cast("long"))
+    rows = files.mapInArrow(run, f"doc_id long, at long, n_tokens long, {name} {'long' if digests else 'binary'}, place long")
+    if digests:
+        rows = cut(rows)
+        totals = rows.groupBy("place").agg(F.sum("n_tokens").alias("n"))
+    else:
+        totals = files.mapInArrow(sizes, "place long, n long")
+    totals = cut(totals).withColumn("run", F.shiftright("place", 32).cast("long"))
     runs = totals.groupBy("run").agg(F.sum("n").alias("n"))
     runs = runs.select("run", (F.sum("n").over(Window.orderBy("run")) - F.col("n")).alias("before"))
     inside = F.sum("n").over(Window.partitionBy("run").orderBy("place")) - F.col("n")
     bases = totals.withColumn("inside", inside).join(runs, "run").select(F.col("place").alias("p"), (F.col("before") + F.col("inside")).alias("base"))
-    rows = files.mapInArrow(run, "doc_id long, at long, n_tokens long, ids binary, place long")
-    rows = rows if with_ids else rows.withColumn("ids", F.crc32("ids"))
-    return rows.join(bases, F.col("place") == F.col("p")).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
+    return rows.join(bases, F.col("place") == F.col("p")).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", name)
 
 
 def op10_elias_fano_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of ``documents``, written and read again; null and empty texts are their end id alone, null ids come
+    first, repeated rows stay, an empty table has no rows."""
     import public_tokenizers
 
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write_token_files(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
-    return read_token_files(spark, path, with_ids=False).withColumnRenamed("ids", "ids_crc32")
+    return read_token_files(spark, path, digests=True)

@@ -41,21 +41,22 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(node[keep], pa.int64()), pa.array(root[keep], pa.int64())], names=["u", "v"])
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", loops: bool = True) -> DataFrame:
     """``(node, component)`` for every end of an edge; a component is named by its smallest node.
 
     Each task first replaces its share of the edges by a spanning star per local component; rounds of large-star and
     small-star contraction then join the shares. Minima are pre-aggregated before every shuffle, every round is
-    materialised in the shared folder, and self loops name isolated nodes. Null ends are ignored.
+    materialised in the shared folder, and self loops name isolated nodes, unless ``loops`` says that there are none.
+    Null ends are ignored.
     """
     a, b = F.col(src).cast("long"), F.col(dst).cast("long")
     pairs = edges.where(a.isNotNull() & b.isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     pairs = cut(pairs)
-    loops = pairs.where("u = v").select(F.col("u").alias("node")).distinct()
+    alone = pairs.where("u = v").select(F.col("u").alias("node")).distinct()
     links = pairs.where("u <> v")
     count = links.count()
     if count == 0:
-        return loops.select("node", F.col("node").alias("component"))
+        return alone.select("node", F.col("node").alias("component"))
     tasks = -(-count // EDGES_PER_TASK)
     stars = cut(links.repartition(tasks).mapInArrow(_contract, "u long, v long"))
     before = None
@@ -72,4 +73,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         before = now
     rooted = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
     named = rooted.union(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-    return named.union(loops.join(named, "node", "left_anti").select("node", F.col("node").alias("component")))
+    if not loops:
+        return named
+    return named.union(alone.join(named, "node", "left_anti").select("node", F.col("node").alias("component")))

@@ -163,10 +163,14 @@ def _keyed(marked: DataFrame, *more: str) -> DataFrame:
 
 
 def _with_set(pairs: DataFrame, end: str, sets: DataFrame, to: str) -> DataFrame:
-    """``pairs`` with the set of the representative in ``end``; one in very many pairs is salted, its set repeated."""
-    salts = pairs.groupBy(end).agg(F.count("*").alias("n")).where(F.col("n") > SALT_ROWS).select(F.col(end).alias("hot"), F.ceil(F.col("n") / SALT_ROWS).cast("long").alias("salts"))
+    """``pairs`` with the set of the representative in ``end``; where some are in very many pairs, these are salted and
+    their sets repeated."""
+    salts = cut(pairs.groupBy(end).agg(F.count("*").alias("n")).where(F.col("n") > SALT_ROWS).select(F.col(end).alias("hot"), F.ceil(F.col("n") / SALT_ROWS).cast("long").alias("salts")))
+    held = sets.select(F.col("id").alias("own"), F.col("shingles").alias(to))
+    if salts.isEmpty():
+        return pairs.join(held, F.col(end) == F.col("own")).drop("own")
     salted = pairs.join(salts, F.col(end) == F.col("hot"), "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id", "other"), F.col("salts")), F.lit(0).cast("long"))).drop("hot", "salts")
-    held = sets.join(salts, F.col("id") == F.col("hot"), "left").select(F.col("id").alias("own"), F.col("shingles").alias(to), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1).cast("long")) - 1)).alias("place"))
+    held = held.join(salts, F.col("own") == F.col("hot"), "left").select("own", to, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1).cast("long")) - 1)).alias("place"))
     return salted.join(held, (F.col(end) == F.col("own")) & (F.col("salt") == F.col("place"))).drop("own", "place", "salt")
 
 
@@ -234,7 +238,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = PERCENT, id_co
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
     reps = sketch.where("set_key is not null").groupBy("set_key").agg(first.alias("row"), F.first("bands").alias("bands"))
     reps = cut(reps.select("set_key", "row.doc_id", "row.text_key", "bands", F.monotonically_increasing_id().alias("id")))
-    classes = connected_components(_confirmed(own, reps, words, percent), "id", "other")
+    classes = connected_components(_confirmed(own, reps, words, percent), "id", "other", loops=False)
     named = reps.select("set_key", "id", F.col("doc_id").alias("first_id")).join(classes, F.col("id") == F.col("node"), "left").select("set_key", "first_id", F.coalesce("component", "id").alias("class_no"))
     named = cut(named)
     least = named.groupBy("class_no").agg(F.min("first_id").alias("component_id"))
@@ -260,12 +264,16 @@ def _confirmed(own: DataFrame, reps: DataFrame, words: int, percent: int) -> Dat
         return links
 
     def classed(rows: DataFrame) -> DataFrame:
-        known = connected_components(links, "id", "other").select(F.col("node").alias("id"), F.col("component").alias("now"))
+        known = connected_components(links, "id", "other", loops=False).select(F.col("node").alias("id"), F.col("component").alias("now"))
         return rows.drop("cls").join(known, "id", "left").withColumn("cls", F.coalesce("now", "id")).drop("now")
 
     keyed = _keyed(cut(classed(marked)), "cls")
     rows = cut(keyed.join(_several(keyed, "key"), "key"))
+    if rows.isEmpty():
+        return links
     for turn in range(1, ROUNDS):
+        if rows.where(F.col("members") > FEW).isEmpty():  # few members are compared directly
+            break
         order = F.xxhash64("id", F.lit(turn))
         heads = rows.groupBy("key").agg(F.min(F.struct(order.alias("h"), F.col("id").alias("leader"), F.col("cls").alias("lead"))).alias("head"))
         star = rows.join(heads, "key").where("cls <> head.lead").groupBy("id").agg(F.min("head").alias("head")).select("id", F.col("head.leader").alias("other"))

@@ -340,6 +340,8 @@ def test_op6_against_all_pairs(spark, monkeypatch, words, few, rounds):
     monkeypatch.setattr(neardup, "FEW", few)
     monkeypatch.setattr(neardup, "ROUNDS", rounds)
     monkeypatch.setattr(neardup, "SALT_ROWS", 5)
+    monkeypatch.setattr(neardup, "TILE", 7)
+    monkeypatch.setattr(neardup, "COLUMNS", 16)
     texts = near_copies(400) + ["", None, " \t", "Same WORDS", "same words", "x" * 40, "a b", "b a", "Ä b", "ä b", "a\x0bb\x0cc", "a b c"]
     rng = random.Random(9)
     base = [f"u{i}" for i in range(120)]

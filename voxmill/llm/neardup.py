@@ -29,13 +29,15 @@ from voxmill.operators.graph import connected_components
 from voxmill.session import cut, read_table
 
 #: Bands in each of the two collections, and minhashes in a band.
-BANDS, ROWS = 26, 5
+BANDS, ROWS = 22, 5
 #: Shares of which a link has as many: 100 * intersection >= 80 * union.
 PERCENT = 80
 #: Rounds of leaders, and members of a key whose pairs are all compared; larger keys go by prefixes.
 ROUNDS, FEW = 3, 32
 #: Counters of the prefixes' order; a shingle's rarity is that of all that share its counter.
 COUNTERS = 1 << 16
+#: Members and bytes of sets in a tile, on average, and columns of the matrices that are multiplied at once.
+TILE, TILE_BYTES, COLUMNS = 1024, 8 << 20, 2048
 #: Pairs of one representative that are joined in one partition before they are salted.
 SALT_ROWS = 2048
 
@@ -128,6 +130,58 @@ def _longs(parts: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([x is None for x in parts]))
 
 
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of the two sides: products of their incidence matrices."""
+    flats = [np.concatenate(x) for x in (left, right)]
+    words = np.intersect1d(*[np.unique(x) for x in flats], assume_unique=True)
+    out = np.zeros((len(left), len(right)), np.float32)  # exact: counts are far below 2^24
+    marks = []
+    for sets, flat in zip((left, right), flats, strict=True):
+        row, at = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.searchsorted(words, flat)
+        known = at < len(words)
+        known[known] = words[at[known]] == flat[known]
+        order = np.argsort(at[known], kind="stable")
+        marks.append((row[known][order], at[known][order]))
+    for begin in range(0, len(words), COLUMNS):
+        parts = []
+        for sets, (row, at) in zip((left, right), marks, strict=True):
+            a, b = np.searchsorted(at, (begin, begin + COLUMNS))
+            part = np.zeros((len(sets), COLUMNS), np.float32)
+            part[row[a:b], at[a:b] - begin] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def compare(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links between rows (id, class, set) of ``left`` and of ``right`` in different classes; found links merge classes."""
+    if not left or not right:
+        return []
+    m, n = (np.array([len(x[2]) for x in side]) for side in (left, right))
+    shared = _shared([x[2] for x in left], [x[2] for x in right])
+    alike = 100 * shared >= percent * (m[:, None] + n[None, :] - shared)
+    ids, classes = np.array([x[0] for x in right]), np.array([x[1] for x in right])
+    out, same = [], {}
+
+    def root(c: int) -> int:
+        while (up := same.get(c, c)) != c:
+            c = up
+        return c
+
+    for k, (key, own, _) in enumerate(left):
+        own = root(own)
+        others, first = np.unique(classes[alike[k]], return_index=True)
+        near = np.flatnonzero(alike[k])
+        for cls, i in zip(others.tolist(), near[first].tolist(), strict=True):
+            if cls != own:
+                out.append((key, int(ids[i])))
+                low, high = min(cls, own), max(cls, own)
+                same[high] = low
+                classes[classes == high] = low
+                own = low
+    return out
+
+
 def _sketch(own: DataFrame, words: int) -> DataFrame:
     """Each row without its text, with ``n_shingles``, ``set_key`` (sixteen bytes that stand for the set) and ``bands``;
     the last two are null without shingles."""
@@ -195,8 +249,9 @@ def _several(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("members")).where("lo < hi").select(key, "members")
 
 
-def _by_prefix(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs among ``members(id, cls)`` that can be linked: those that share a shingle of their prefixes.
+def _by_prefix(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs among ``members(id, cls)`` that can be linked, as they share a shingle of their prefixes; and ``(id, grp)``,
+    groups of those whose prefixes share a shingle with many.
 
     Any one order of all shingles serves; here those with the lowest of COUNTERS counts first. Only the counters come
     to the driver.
@@ -218,8 +273,50 @@ def _by_prefix(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(np.full(len(first), own.as_py())), pa.array(np.full(len(first), cls.as_py())), pa.array(np.full(len(first), n, np.int64))], names=["key", "id", "cls", "n"])
 
     rows = cut(held.mapInArrow(run, "key long, id long, cls long, n long"))
-    rows = rows.join(_several(rows, "key").select("key"), "key", "left_semi")
-    return _cross_pairs(rows, "key", 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+    rows = cut(rows.join(_several(rows, "key"), "key"))
+    pairs = _cross_pairs(rows.where(F.col("members") <= FEW).drop("members"), "key", 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+    dense = rows.where(F.col("members") > FEW)
+    ties = dense.join(dense.groupBy("key").agg(F.min("id").alias("low")), "key").select("id", "low").distinct()
+    groups = connected_components(ties, "id", "low").select(F.col("node").alias("id"), F.col("component").alias("grp"))
+    return pairs, groups
+
+
+def _tiled(groups: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(id, other)``: links that join all that is linked within the groups, beyond the classes of ``members``."""
+    rows = cut(sets.join(groups.join(members, "id"), "id").select("id", "grp", "cls", "shingles", F.size("shingles").alias("n")))
+    sizes = rows.groupBy("grp", "cls").agg(F.count("*").alias("n"), F.sum(F.col("n") * 8).alias("b"))
+    top = sizes.groupBy("grp").agg(F.max(F.struct("n", "b", "cls")).alias("top"), F.sum("n").alias("n"), F.sum("b").alias("b"), F.count("*").alias("k")).where("k > 1")
+    tiles = lambda n, b: F.greatest(F.ceil(n / TILE), F.ceil(b / TILE_BYTES)).cast("long")
+    plan = top.select("grp", F.col("top.cls").alias("top"), tiles(F.col("n"), F.col("b")).alias("tiles"), tiles(F.col("n") - F.col("top.n"), F.col("b") - F.col("top.b")).alias("blocks"))
+    rows = rows.join(plan, "grp")
+    spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    right = rows.withColumn("tile", spread("tiles", 1)).withColumn("block", every("blocks"))
+    left = rows.where("cls <> top").withColumn("block", spread("blocks", 2)).withColumn("tile", every("tiles"))
+    key = ["grp", "tile", "block"]
+    both = [x.select(*key, F.lit(side).alias("side"), "id", "cls", "shingles") for side, x in enumerate((left, right))]
+    both = both[0].union(both[1]).repartition(*key).sortWithinPartitions(*key, "side", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up_cache()
+        now, sides = None, ([], [])
+
+        def links() -> pa.RecordBatch:
+            found = compare(*sides, percent)
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["id", "other"])
+
+        for batch in rows_of(batches):
+            wheres = zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True)
+            for (*where, side, own, cls), shingles in zip(wheres, batch.column(6), strict=True):
+                if where != now:
+                    if now is not None:
+                        yield links()
+                    now, sides = where, ([], [])
+                sides[side].append((own, cls, np.asarray(shingles.values)))
+        if now is not None:
+            yield links()
+
+    return both.mapInArrow(run, "id long, other long")
 
 
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", also: Sequence[str] = ()) -> DataFrame:
@@ -287,7 +384,9 @@ def _confirmed(own: DataFrame, reps: DataFrame, words: int, percent: int) -> Dat
     pairs = _cross_pairs(rows.where(F.col("members") <= FEW).select("key", "id", "cls"), "key")
     members = cut(rows.where(F.col("members") > FEW).select("id", "cls").distinct())
     if not members.isEmpty():
-        pairs = pairs.union(_by_prefix(members, sets, percent)).distinct()
+        more, groups = _by_prefix(members, sets, percent)
+        pairs = pairs.union(more).distinct()
+        links = links.union(_tiled(groups, members, sets, percent))
     return links.union(_links(cut(pairs.join(tried, ["id", "other"], "left_anti")), sets, percent))
 
 

@@ -334,3 +334,53 @@ def test_value_at(spark):
     for place in (0, 17, 150, 299):
         assert A.value_at(df, "p", place) == sorted(values, reverse=True)[place]
     assert A.value_at(df, "p", 300) is None
+
+
+def test_gipl_codes_of_the_format():
+    """Bytes made by hand: 15 is a signed and 16 an unsigned short, 7 a signed byte."""
+    import struct
+
+    for code, kind, values in ((15, ">i2", [-2, 300]), (16, ">u2", [65000, 1]), (7, ">i1", [-3, 4]), (1, ">u1", [1, 0])):
+        head = bytearray(256)
+        struct.pack_into(">4HH4f", head, 0, 2, 1, 1, 1, code, 1.0, 1.0, 1.0, 1.0)
+        struct.pack_into(">I", head, 252, 4026526128)
+        cube = codecs.read_gipl(bytes(head) + np.array(values, kind).tobytes())
+        assert cube.astype(int).ravel().tolist() == values and cube.shape == (1, 1, 2)
+        assert struct.unpack_from(">H", codecs.write_gipl(cube), 8)[0] == code
+    assert codecs.read_gipl(codecs.write_gipl(np.array([[[-1, 2]]], np.int8))).tolist() == [[[-1, 2]]]
+
+
+def test_halo_wider_than_a_block(spark):
+    df = grid.with_halo(spark.createDataFrame([(10, 0, 0)], "x long, y long, z long"), 4, 9)
+    assert sorted(r.bx for r in df.select("bx").distinct().collect()) == [0, 1, 2, 3, 4]
+
+
+def test_many_lists_and_clashing_names(spark):
+    lists = spark.createDataFrame([(k, 700 * (k % 3)) for k in range(30)], "k int, w long")
+    rows = grid.addressed(spark.range(0, 25_000, 97).withColumnRenamed("id", "idx"), grid.chunk_ranges(lists, "k", "w")).collect()
+    assert all(r.lo <= r.idx < r.hi and r.place == r.idx - r.lo for r in rows) and len(rows) == len([i for i in range(0, 25_000, 97) if i < 21_000])
+    vox = spark.createDataFrame([(5, 1, 2), (0, 3, 4)], "label long, old long, new long")
+    assert sorted(map(tuple, labels.sequential_relabel(vox).collect())) == [(0, 3, 4), (1, 1, 2)]
+
+
+def test_stitched_beyond_any_shift(spark):
+    big = 1 << 45
+    vox = spark.createDataFrame([(big, 3), (big, 3), (7, big + 1)], "first long, second long")
+    got = {(r.volume, r.old): r.new for r in A.stitched(vox).collect()}
+    assert got[1, big] == got[2, 3] and got[1, 7] == got[2, big + 1] and got[1, big] != got[1, 7]
+    with pytest.raises(ValueError):
+        A.stitched(vox, shift=1 << 40)
+
+
+def test_models_by_round_and_samples(spark, tmp_path):
+    rows = [(x, y, z, 1 + (x // 3) + 3 * (y // 3), 1 + x // 6) for x in range(12) for y in range(9) for z in range(3)]
+    vox = spark.createDataFrame([(*r, 10 * (r[0] % 6 == 5)) for r in rows], "x long, y long, z long, label long, truth long, v long")
+    config = learned.MergeConfig("dc", "small", iterations=2)
+    features = lambda v: A.edge_features(v, 6)
+    out, models = learned.iterate_trained(vox, features, config, path=f"{tmp_path}/m")
+    assert 1 <= len(models) <= 2 and out.select("label").distinct().count() < 12
+    again = learned.iterate_with(vox, features, [learned.loaded(f"{tmp_path}/m/round-{k}") for k in range(len(models))], config)
+    key = lambda df: sorted((r.x, r.y, r.z, r.label) for r in df.collect())
+    assert key(out) == key(again)
+    sample = learned.uniform_sample(vox, "truth", 10)
+    assert {r.truth: r["count"] for r in sample.groupBy("truth").count().collect()} == {1: 10, 2: 10}

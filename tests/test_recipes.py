@@ -18,13 +18,33 @@ def two_blobs():
     return p
 
 
-@pytest.mark.parametrize("method", ["comps", "skim-ws"])
+@pytest.mark.parametrize("method", recipes.METHODS)
 def test_watershed_cube(method):
-    made = recipes.watershed_cube(two_blobs(), [0.5, 0.9], 3, method=method)
-    for t in (0.5, 0.9):
-        low = made[t]["zero_background"]
-        assert set(np.unique(low)) == {0, 1, 2} and (low[two_blobs().argmax(0) == 0] == 0).all()
-        assert (made[t]["with_background"] > 0).all() and set(np.unique(made[t]["no_adjacencies"])) == {0, 1, 2}
+    made = recipes.watershed_cube(two_blobs(), [0.5, 0.7, 0.9], 3, method=method)
+    outside = two_blobs().argmax(0) == 0
+    for t in (0.5, 0.7, 0.9):
+        own, filled, apart = (made[t][k] for k in ("with_background", "zero_background", "no_adjacencies"))
+        assert set(np.unique(own)) == {0, 1, 2} and ((own == 0) == outside).all()  # background stays
+        assert (filled > 0).all() and (filled[own > 0] == own[own > 0]).all()  # the nearest label fills it
+        assert set(np.unique(apart)) <= {0, 1, 2} and (apart[outside] == 0).all()
+        for axis in range(3):
+            a, b = np.moveaxis(apart, axis, 0)[:-1], np.moveaxis(apart, axis, 0)[1:]
+            assert not ((a != b) & (a > 0) & (b > 0)).any()
+
+
+def test_watershed_options():
+    p = two_blobs()
+    many = recipes.watershed_cube(p, [0.5, 0.9], [2, 5], saved=[0.9], fixed={2: 7})
+    assert set(many) == {(2, 0.9), (5, 0.9)} and set(np.unique(many[2, 0.9]["with_background"])) == {0, 1, 7}
+    types = p.argmax(0)
+    types[0, 0, 0] = 1
+    for smallest, first in ((0, 1), (5, 0)):
+        made = recipes.watershed_cube(recipes.source_classes(types, 3, smallest), [0.5], 1)[0.5]["with_background"]
+        assert (made[0, 0, 0] > 0) == first and ((made > 0) == (types > 0))[1:].all()
+    ties = recipes.watershed_cube(np.array([[[[0.2, 0.2, 0.2, 0.2, 0.2]]], [[[0.9, 0.3, 0.5, 0.4, 0.9]]]]), [0.8], 1, method="skim-ws")[0.8]
+    assert ties["with_background"].tolist() == [[[1, 1, 1, 1, 2]]] and ties["no_adjacencies"].tolist() == [[[1, 1, 1, 0, 2]]]  # the lowest first
+    planes = recipes.linked_planes(np.array([[[1, 0, 1]], [[1, 0, 0]], [[0, 0, 0]]], bool), np.ones((3, 1, 3), bool))
+    assert planes.tolist() == [[[1, 1, 1]], [[1, 1, 1]], [[0, 0, 0]]]
 
 
 def test_watershed_blocks(spark):
@@ -33,7 +53,7 @@ def test_watershed_blocks(spark):
     for k, c in enumerate("abc"):
         df = df.join(volume(spark, np.round(p[k] * 1000).astype(int), c).withColumn(c, F.col(c) / 1000), ["x", "y", "z"])
     one = recipes.watershed(df, list("abc"), [0.5], 3, 16, 0)
-    assert (cube_of(one, p.shape[1:], "zero_background") == recipes.watershed_cube(np.round(p, 3), [0.5], 3)[0.5]["zero_background"]).all()
+    assert (cube_of(one, p.shape[1:], "with_background") == recipes.watershed_cube(np.round(p, 3), [0.5], 3)[0.5]["with_background"]).all()
 
 
 def test_label_check_and_scrub(spark):
@@ -43,11 +63,31 @@ def test_label_check_and_scrub(spark):
     out = cube_of(recipes.label_check(volume(spark, cube), 5, 8, 0.6), cube.shape)
     assert out[3, 3, 3] == 1 and out[0, 0, 0] == 0
     assert cube_of(recipes.scrub(volume(spark, cube), 5), cube.shape).sum() == 216
-    assert (cube_of(recipes.scrub(volume(spark, cube), 5, 8, 0), cube.shape) == 1).all()
+    assert (cube_of(recipes.scrub(volume(spark, cube), 5, 8), cube.shape) == 1).all()
     proof = cube_of(recipes.label_proof(volume(spark, cube), (8, 8, 8)), cube.shape)
     assert proof[0, 0, 0] == 0 and proof[3, 3, 3] > 0
 
 
+def test_cavities_of_any_extent(spark):
+    """A hollow over several blocks is a cavity, one open to a side isn't; top and bottom don't count."""
+    cube = np.full((6, 20, 20), 3)
+    cube[:, 2:18, 2:18] = 0  # through top and bottom
+    cube[2:4, 9:11, 9:11] = 8
+    out = cube_of(recipes.cavities_filled(volume(spark, cube), 5), cube.shape)
+    assert (out > 0).all() and (out == kernels.fill_cavities(cube)).all()
+    back = cube_of(recipes.small_cavity_labels_removed(volume(spark, cube), 10, 5), cube.shape)
+    assert (back == 1).all()
+    cube[3, 5, :3] = 0
+    assert (cube_of(recipes.cavities_filled(volume(spark, cube), 5), cube.shape) == cube).all()
+    one = np.zeros((5, 7, 7), int)
+    one[1:4, 1:6, 1:6] = 4
+    one[2, 2:5, 2:5] = 0
+    one[2, 3, 3] = 9
+    whole = kernels.fill_cavities_labelwise(one)
+    assert whole[2, 2, 2] == 4 and whole[2, 3, 3] == 9 and whole[0, 0, 0] == 0
+    assert cube_of(recipes.ecs_replaced(volume(spark, one), 5, 50, 10), one.shape)[2, 3, 3] == 50
+
+
 def test_linked_slices_and_evaluation(spark, tmp_path):
     cube = np.array([[[1, 0], [0, 2]], [[3, 0], [0, 4]]])
     out = cube_of(recipes.linked_slices(volume(spark, cube)), cube.shape)

@@ -101,12 +101,17 @@ def merge_percent(edges: DataFrame, percent: float, p: str = "p", predicted: str
     return edges.where(F.col(predicted) & (F.col(p) >= F.lit(threshold)))
 
 
-def stitched(vox: DataFrame, a: str = "first", b: str = "second", shift: int = 1 << 40) -> DataFrame:
+def stitched(vox: DataFrame, a: str = "first", b: str = "second", shift: int | None = None) -> DataFrame:
     """``(volume, old, new)``: labels of two volumes that cover the same voxels where both are known.
 
     Each label of the second is tied to the label of the first that it overlaps most, and each of the first likewise; tied labels
-    become one, named by its smallest member, those of the second shifted so that they don't collide.
+    become one, named by its smallest member, those of the second shifted so that they don't collide: by ``shift`` or, if
+    it isn't given, by a power of two above all labels of the first. A shift that labels reach raises.
     """
+    top = vox.agg(F.max(a)).first()[0] or 0
+    shift = 1 << max(40, int(top).bit_length()) if shift is None else shift
+    if top >= shift:
+        raise ValueError(f"labels reach {top}, the shift is {shift}")
     both = vox.where(f"{a} is not null and {b} is not null")
     forward = best_overlap(both, b, a).where("best >= 0").select((F.col(b) + shift).alias("src"), F.col("best").alias("dst"))
     backward = best_overlap(both, a, b).where("best >= 0").select(F.col(a).alias("src"), (F.col("best") + shift).alias("dst"))

@@ -17,7 +17,8 @@ def label_sizes(vox: DataFrame, label: str = "label") -> DataFrame:
 def relabelled(vox: DataFrame, mapping: DataFrame, label: str = "label") -> DataFrame:
     """Labels replaced by ``mapping(old, new)``; those without an entry become 0."""
     names = vox.columns
-    joined = vox.join(mapping, F.col(label) == F.col("old"), "left").withColumn(label, F.coalesce("new", F.lit(0)).cast("long"))
+    own = mapping.select(F.col("old").alias("__old"), F.col("new").alias("__new"))
+    joined = vox.join(own, F.col(label) == F.col("__old"), "left").withColumn(label, F.coalesce("__new", F.lit(0)).cast("long"))
     return joined.select(*names)
 
 

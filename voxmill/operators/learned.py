@@ -29,6 +29,8 @@ class MergeConfig:
     iterations: int = 3
     percent: float = 0.5
     seed: int = 1
+    trees: int = 256
+    depth: int = 16
     thresholds: list[float] = field(default_factory=lambda: [0.5])
 
     def __post_init__(self):
@@ -41,7 +43,7 @@ class MergeConfig:
 def classifier(config: MergeConfig):
     """Scaled features (mean 0, deviation 1) and the classifier of that name; ``ada`` is boosted trees."""
     made = {
-        "rf": lambda: RandomForestClassifier(labelCol="target", featuresCol="scaled", numTrees=64, maxDepth=8, seed=config.seed),
+        "rf": lambda: RandomForestClassifier(labelCol="target", featuresCol="scaled", numTrees=config.trees, maxDepth=config.depth, seed=config.seed),
         "lr": lambda: LogisticRegression(labelCol="target", featuresCol="scaled"),
         "nb": lambda: NaiveBayes(labelCol="target", featuresCol="scaled", modelType="gaussian"),
         "dc": lambda: DecisionTreeClassifier(labelCol="target", featuresCol="scaled", seed=config.seed),
@@ -84,11 +86,63 @@ def leave_out(edges: DataFrame, chunk: str, held: list[int]) -> tuple[DataFrame,
 
 
 def balanced(edges: DataFrame, per_class: int, seed: int = 1) -> DataFrame:
-    """``per_class`` rows of each class at most, chosen by a seeded hash: a sampling operator."""
+    """``per_class`` rows of each class at most, chosen by a seeded hash: a sampling operator.
+
+    Two limits, which Spark takes from each partition first, so no task ranks a whole class.
+    """
+    order = [F.xxhash64(F.lit(seed), "a", "b"), F.col("a"), F.col("b")]
+    return edges.where("target = 0").orderBy(*order).limit(per_class).union(edges.where("target = 1").orderBy(*order).limit(per_class))
+
+
+def uniform_sample(vox: DataFrame, kind: str, per_kind: int, seed: int = 1) -> DataFrame:
+    """``per_kind`` voxels of each kind at most, every voxel of a kind as likely as another: a sampling operator.
+
+    Each task keeps its own lowest hashes of a kind before the shuffle, so a frequent kind isn't one task's work.
+    """
     from pyspark.sql import Window
 
-    order = F.row_number().over(Window.partitionBy("target").orderBy(F.xxhash64(F.lit(seed), "a", "b"), "a", "b"))
-    return edges.withColumn("__k", order).where(F.col("__k") <= per_class).drop("__k")
+    rows = vox.withColumn("__h", F.xxhash64(F.lit(seed), "x", "y", "z"))
+    part = rows.withColumn("__p", F.pmod(F.xxhash64("__h", F.lit(1)), F.lit(256)))
+    for keys in ([kind, "__p"], [kind]):
+        part = part.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy("__h", "x", "y", "z"))).where(F.col("__k") <= per_kind).drop("__k")
+    return part.drop("__h", "__p")
+
+
+def saved(model, path: str) -> None:
+    """Writes a fitted pipeline; ``loaded`` reads it."""
+    model.write().overwrite().save(path)
+
+
+def loaded(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
+def iterate_trained(vox: DataFrame, features, config: MergeConfig, truth: str = "truth", path: str | None = None) -> tuple[DataFrame, list]:
+    """Rounds of: features of the graph, targets from ``truth``, a classifier fitted anew and, given a path, saved, its surest
+    merges, agglomeration; fewer rounds if no two classes of edges are left. Returns the voxels and the models, by which ``iterate_with`` treats other volumes alike."""
+    from voxmill.operators.agglomerate import merged_volume, perfect_merge
+    from voxmill.session import cut
+
+    models = []
+    for k in range(config.iterations):
+        edges = cut(perfect_merge(vox, features(vox), truth))
+        if edges.select("target").distinct().count() < 2:  # nothing is left to tell apart
+            break
+        models.append(fit(edges, config))
+        if path:
+            saved(models[-1], f"{path}/round-{k}")
+        chosen = merge_percent(predicted(models[-1], edges), config.percent)
+        vox = cut(merged_volume(vox, agglomerated(chosen, F.lit(True))))
+    return vox, models
+
+
+def iterate_with(vox: DataFrame, features, models: list, config: MergeConfig) -> DataFrame:
+    """The rounds of ``iterate_trained`` with its models, one a round."""
+    for model in models:
+        vox = iterate(vox, features, model, MergeConfig(config.classifier, config.features, 1, config.percent, config.seed, config.trees, config.depth))
+    return vox
 
 
 def iterate(vox: DataFrame, features, model, config: MergeConfig) -> DataFrame:

@@ -117,28 +117,6 @@ def block_means(tiles: DataFrame, keys: list[str], size: int, value: str = "v")
     return tiles.groupBy(*keys, F.floor(F.col("r") / size).cast("long").alias("r"), F.floor(F.col("c") / size).cast("long").alias("c")).agg(F.avg(value).alias("mean"))
 
 
-def axis_closed(vox: DataFrame, value: str = "v", radius: int = 1) -> DataFrame:
-    """Grey closing along the axes: maximum, then minimum, of the window on each axis in turn."""
-    out = vox
-    for f in (F.max, F.min):
-        for a in "xyz":
-            rest = [c for c in "xyz" if c != a]
-            out = out.withColumn(value, f(value).over(Window.partitionBy(*rest).orderBy(a).rangeBetween(-radius, radius)))
-    return out
-
-
-def nearest_label(vox: DataFrame, radius: int, scale: tuple[float, float, float] = (1.0, 1.0, 1.0), label: str = "label") -> DataFrame:
-    """Background voxels take the label of the nearest labelled voxel within ``radius`` steps on each axis, by scaled
-    distance; of equally near ones the lowest; those with none in reach stay 0. The block kernel fills any distance."""
-    fore = vox.where(F.col(label) != 0).select("x", "y", "z", label)
-    empty = vox.where(F.col(label) == 0).select("x", "y", "z")
-    steps = [d for d in product(range(-radius, radius + 1), repeat=3) if d != (0, 0, 0)]
-    every = F.array(*[F.struct(*[F.lit(v).alias(a) for a, v in zip(("dx", "dy", "dz"), d, strict=True)], F.lit(float(sum((v * s) ** 2 for v, s in zip(d, scale, strict=True)))).alias("d2")) for d in steps])
-    near = fore.select("x", "y", "z", label, F.explode(every).alias("d")).select((F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"), (F.col("z") + F.col("d.dz")).alias("z"), F.col("d.d2").alias("d2"), F.col(label).alias("__l"))
-    found = near.join(empty, ["x", "y", "z"], "left_semi").groupBy("x", "y", "z").agg(F.min(F.struct("d2", "__l"))["__l"].alias("__l"))
-    return vox.join(found, ["x", "y", "z"], "left").withColumn(label, F.when(F.col(label) == 0, F.coalesce("__l", F.lit(0))).otherwise(F.col(label))).drop("__l")
-
-
 def box(x: tuple[int, int], y: tuple[int, int], z: tuple[int, int]) -> Column:
     """Whether a voxel is in a box, ends exclusive: plain comparisons, so they reach the scan."""
     return (F.col("x") >= x[0]) & (F.col("x") < x[1]) & (F.col("y") >= y[0]) & (F.col("y") < y[1]) & (F.col("z") >= z[0]) & (F.col("z") < z[1])

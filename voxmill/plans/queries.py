@@ -290,10 +290,10 @@ def superchunks(spark, sf):
     return grid.superchunks(spark, (2, 0, 1), (8, 8, 5), (2, 4, 1), overlap=(16, 16, 8))
 
 
-@query("SELECT n_nationkey, x::INTEGER AS ix, y::INTEGER AS iy, (10 * x + n_regionkey)::INTEGER AS begin_x, (20 * y)::INTEGER AS begin_y FROM nation, range(3) a(x), range(2) b(y)")
+@query("SELECT n_nationkey, x::INTEGER AS ix, y::INTEGER AS iy, (10 * x + n_regionkey)::INTEGER AS begin_x, (20 * y)::INTEGER AS begin_y, (2 * x + y)::BIGINT AS number FROM nation, range(3) a(x), range(2) b(y)")
 def roi_split(spark, sf):
     n = read_table(spark, sf, "nation").select("n_nationkey", F.lit(30).alias("size_x"), F.lit(40).alias("size_y"), F.lit(5).alias("size_z"), F.col("n_regionkey").alias("off_x"), F.lit(0).alias("off_y"), F.lit(0).alias("off_z"))
-    return grid.split_roi(n, (10, 20, 5)).select("n_nationkey", "ix", "iy", F.col("begin_x").cast("int").alias("begin_x"), F.col("begin_y").cast("int").alias("begin_y"))
+    return grid.split_roi(n, (10, 20, 5)).select("n_nationkey", "ix", "iy", F.col("begin_x").cast("int").alias("begin_x"), F.col("begin_y").cast("int").alias("begin_y"), "number")
 
 
 @query("""WITH r AS (SELECT n_nationkey, sum(n_regionkey + 1) OVER (ORDER BY n_nationkey) AS hi, n_regionkey + 1 AS w FROM nation), s AS (SELECT n_nationkey, hi - w AS lo, hi FROM r)
@@ -406,15 +406,28 @@ def tile_summary(spark, sf):
     return rounded(shares.join(stats, "kind").crossJoin(F.broadcast(total)).select("kind", F.round(F.col("n") / F.col("total"), 6).alias("share"), F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std")))
 
 
-@query(f"WITH {_G}, d AS (SELECT a.x, a.y, a.z, max(b.v) AS v FROM g a JOIN g b ON b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.z BETWEEN a.z - 1 AND a.z + 1 GROUP BY 1, 2, 3) SELECT a.x, a.y, a.z, min(b.v) AS v FROM d a JOIN d b ON b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.z BETWEEN a.z - 1 AND a.z + 1 GROUP BY 1, 2, 3")
+_CROSS = f"o(dx, dy, dz) AS (VALUES (0, 0, 0), {_OFF(N.offsets(6, forward=False))})"
+
+
+@query(f"WITH {_G}, {_CROSS}, d AS (SELECT a.x, a.y, a.z, max(b.v) AS v FROM g a, o, g b WHERE b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz GROUP BY 1, 2, 3) SELECT a.x, a.y, a.z, min(b.v) AS v FROM d a, o, d b WHERE b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz GROUP BY 1, 2, 3")
 def grey_closing(spark, sf):
-    return N.axis_closed(voxels(spark, sf).select("x", "y", "z", "v"))
+    made = kernels.over_blocks(voxels(spark, sf), kernels.grey_closed, 16, 2, "v", float("nan"), "double")
+    return made.withColumn("v", F.col("v").cast("long"))
+
+
+@query(f"WITH {_G}, {_CROSS}, d AS (SELECT a.x, a.y, a.z, min(b.v) AS v FROM g a, o, g b WHERE b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz GROUP BY 1, 2, 3) SELECT a.x, a.y, a.z, max(b.v) AS v FROM d a, o, d b WHERE b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz GROUP BY 1, 2, 3")
+def grey_opening(spark, sf):
+    made = kernels.over_blocks(voxels(spark, sf), kernels.grey_opened, 16, 2, "v", float("nan"), "double")
+    return made.withColumn("v", F.col("v").cast("long"))
+
+
+_NEAREST = lambda k: f"WITH {_G}, f AS (SELECT * FROM g WHERE type = 3), n AS (SELECT e.idx, min(((e.x - f.x) * (e.x - f.x) + (e.y - f.y) * (e.y - f.y) + {k} * (e.z - f.z) * (e.z - f.z)) * 1000000000 + f.user_id) AS k FROM g e, f WHERE e.type <> 3 GROUP BY 1) SELECT g.idx, (CASE WHEN g.type = 3 THEN g.user_id + 1 ELSE coalesce(k % 1000000000 + 1, 0) END)::BIGINT AS label FROM g LEFT JOIN n ON g.idx = n.idx"
 
 
-@query(f"WITH {_G}, f AS (SELECT * FROM g WHERE type = 3), e AS (SELECT * FROM g WHERE type <> 3), n AS (SELECT e.idx, f.user_id, (e.x - f.x) * (e.x - f.x) + (e.y - f.y) * (e.y - f.y) + 9 * (e.z - f.z) * (e.z - f.z) AS d FROM e JOIN f ON abs(e.x - f.x) <= 2 AND abs(e.y - f.y) <= 2 AND abs(e.z - f.z) <= 2), r AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY d, user_id) AS k FROM n) SELECT g.idx, (CASE WHEN g.type = 3 THEN g.user_id + 1 ELSE coalesce(r.user_id + 1, 0) END)::BIGINT AS label FROM g LEFT JOIN r ON g.idx = r.idx AND k = 1")
+@query(_NEAREST(9))
 def nearest_fill(spark, sf):
     vox = voxels(spark, sf).withColumn("label", F.when(F.col("type") == 3, F.col("user_id") + 1).otherwise(0))
-    return N.nearest_label(vox.select("idx", "x", "y", "z", "label"), 2, (1.0, 1.0, 3.0)).select("idx", F.col("label").cast("long").alias("label"))
+    return kernels.nearest_fill_all(vox, 16, (1.0, 1.0, 3.0)).join(vox.select("x", "y", "z", "idx"), ["x", "y", "z"]).select("idx", "label")
 
 
 @query(f"WITH {_G} SELECT idx, v FROM g WHERE x >= 3 AND x < 9 AND y >= 2 AND y < 20 AND z >= 1 AND z < 4")
@@ -492,13 +505,11 @@ def slice_links(spark, sf):
     return A.slice_links(voxels(spark, sf))
 
 
-@query(f"""WITH {_G}, c AS (SELECT label, user_id % 5 AS t, count(*) AS n FROM g WHERE label <> 0 AND user_id % 5 <> 0 GROUP BY 1, 2), b AS (SELECT label, t FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, t) AS k FROM c) WHERE k = 1)
-SELECT i.label AS a, j.label AS b, coalesce(p.t = q.t, false)::INTEGER AS target FROM (SELECT DISTINCT label FROM g WHERE label <> 0) i JOIN (SELECT DISTINCT label FROM g WHERE label <> 0) j ON i.label < j.label LEFT JOIN b p ON p.label = i.label LEFT JOIN b q ON q.label = j.label""")
+@query(f"""{_ADJ.replace('user_id % 12 AS label', 'user_id AS label')}, p AS (SELECT DISTINCT a, b FROM a), c AS (SELECT label, v % 5 AS t, count(*) AS n FROM g WHERE label <> 0 AND v % 5 <> 0 GROUP BY 1, 2), b AS (SELECT label, t FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, t) AS k FROM c) WHERE k = 1)
+SELECT p.a, p.b, coalesce(i.t = j.t, false)::INTEGER AS target FROM p LEFT JOIN b i ON i.label = p.a LEFT JOIN b j ON j.label = p.b""")
 def merge_targets(spark, sf):
-    g = voxels(spark, sf).withColumn("truth", F.col("user_id") % 5)
-    ids = g.where("label <> 0").select("label").distinct()
-    every = ids.select(F.col("label").alias("a")).join(ids.select(F.col("label").alias("b")), F.col("a") < F.col("b"))  # eleven labels
-    return A.perfect_merge(g, every).select("a", "b", "target")
+    g = voxels(spark, sf).withColumn("label", F.col("user_id")).withColumn("truth", F.col("v") % 5)
+    return A.perfect_merge(g, N.adjacency_graph(g)).select("a", "b", F.coalesce("target", F.lit(0)).alias("target"))
 
 
 # --- skeletons
@@ -583,10 +594,29 @@ def block_round_trip(spark, sf):
     return back.join(vox.select("x", "y", "z"), ["x", "y", "z"], "left_semi")
 
 
-@query(f"WITH {_G}, f AS (SELECT * FROM g WHERE type = 3), n AS (SELECT e.idx, f.user_id, (e.x - f.x) * (e.x - f.x) + (e.y - f.y) * (e.y - f.y) + (e.z - f.z) * (e.z - f.z) AS d FROM g e JOIN f ON abs(e.x - f.x) <= 4 AND abs(e.y - f.y) <= 4 AND abs(e.z - f.z) <= 4 WHERE e.type <> 3), r AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY d, user_id) AS k FROM n) SELECT g.x, g.y, g.z, (CASE WHEN g.type = 3 THEN g.user_id + 1 ELSE coalesce(r.user_id + 1, 0) END)::BIGINT AS label FROM g LEFT JOIN r ON g.idx = r.idx AND k = 1")
+@query(_NEAREST(1))
 def kernel_nearest_fill(spark, sf):
     vox = voxels(spark, sf).withColumn("label", F.when(F.col("type") == 3, F.col("user_id") + 1).otherwise(0))
-    return kernels.over_blocks(vox, kernels.nearest_fill, 16, 6)
+    return kernels.nearest_fill_all(vox, 16).join(vox.select("x", "y", "z", "idx"), ["x", "y", "z"]).select("idx", "label")
+
+
+@query(f"WITH {_G} SELECT idx, (CASE WHEN label > 6 THEN 100 WHEN label > 0 THEN label + 2 ELSE 0 END)::BIGINT AS label FROM g")
+def replace_ecs(spark, sf):
+    return recipes.ecs_replaced(voxels(spark, sf), 6, 100, 2).select("idx", "label")
+
+
+_CAVITY = f"""WITH RECURSIVE {_G}, l AS (SELECT idx, x, y, z, CASE WHEN type = 3 THEN 0 ELSE user_id + 1 END AS label FROM g), {_CROSS}, m AS (SELECT min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM l),
+b AS (SELECT * FROM l WHERE label = 0), s AS (SELECT b.idx, b.x, b.y, b.z FROM b, m WHERE x IN (a, m.b) OR y IN (c, d)),
+r AS (SELECT * FROM s UNION SELECT b.idx, b.x, b.y, b.z FROM r, o, b WHERE b.x = r.x + dx AND b.y = r.y + dy AND b.z = r.z + dz),
+k AS (SELECT * FROM b WHERE idx NOT IN (SELECT idx FROM r)),
+n AS (SELECT k.idx, min(((k.x - f.x) * (k.x - f.x) + (k.y - f.y) * (k.y - f.y) + (k.z - f.z) * (k.z - f.z)) * 1000000000 + f.label) AS v FROM k, l f WHERE f.label <> 0 GROUP BY 1)
+SELECT l.idx, coalesce(v % 1000000000, label)::BIGINT AS label FROM l LEFT JOIN n ON l.idx = n.idx"""
+
+
+@query(_CAVITY)
+def cavity_fill(spark, sf):
+    vox = voxels(spark, sf).withColumn("label", F.when(F.col("type") == 3, 0).otherwise(F.col("user_id") + 1))
+    return recipes.cavities_filled(vox, 8).join(vox.select("x", "y", "z", "idx"), ["x", "y", "z"]).select("idx", "label")
 
 
 # --- kernels and learning: rows only

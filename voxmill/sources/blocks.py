@@ -9,7 +9,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Element types by name; never evaluated from text.
@@ -59,7 +59,7 @@ def write_dataset(blocks: DataFrame, path: str, dataset: str, variant: str = "",
 
 
 def read_dataset(spark: SparkSession, path: str, dataset: str, variant: str = "", param: float | None = None, low: tuple[int, int, int] | None = None, high: tuple[int, int, int] | None = None, chunk: int = 128) -> DataFrame:
-    """The latest version of each block, of those that a box of voxels (ends exclusive) touches; a missing dataset raises."""
+    """The latest version of each block (blocks that a repeated write left under one version count once), of those that a box of voxels (ends exclusive) touches; a missing dataset raises."""
     rows = spark.read.parquet(f"{path}/blocks").where(F.col("dataset") == dataset)
     rows = rows.where(F.col("variant") == variant if variant else F.col("variant").isNull() | (F.col("variant") == ""))
     if param is not None:
@@ -67,8 +67,12 @@ def read_dataset(spark: SparkSession, path: str, dataset: str, variant: str = ""
     if low and high:
         for a, b, e in zip("xyz", low, high, strict=True):
             rows = rows.where((F.col(f"c{a}") >= b // chunk) & (F.col(f"c{a}") <= (e - 1) // chunk))
-    newest = F.row_number().over(Window.partitionBy("param", "cx", "cy", "cz").orderBy(F.desc("version")))
-    return rows.withColumn("__k", newest).where("__k = 1").drop("__k")
+    # versions are compared on the keys alone; payloads move only where a block has several
+    keys = ["param", "cx", "cy", "cz"]
+    newest = rows.groupBy(*keys).agg(F.max("version").alias("version"), F.count("*").alias("n"))
+    if newest.where("n > 1").isEmpty():
+        return rows
+    return rows.join(newest.drop("n"), [*keys, "version"], "left_semi").dropDuplicates([*keys, "version"])
 
 
 def upsert(spark: SparkSession, path: str, dataset: str, vox: DataFrame, value: str, dtype: str, version: int, variant: str = "", param: float = 0.0, chunk: int = 128) -> None:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from voxmill.sources.blocks import DTYPES
 
 #: GIPL image type codes.
-_GIPL = {8: "|u1", 15: ">u2", 16: ">i2", 32: ">i4", 31: ">u4", 64: ">f4", 65: ">f8"}
+_GIPL = {1: "|b1", 7: "|i1", 8: "|u1", 15: ">i2", 16: ">u2", 31: ">u4", 32: ">i4", 64: ">f4", 65: ">f8"}
 _GIPL_MAGIC = 4026526128
 #: NRRD type names.
 _NRRD = {"uchar": "u1", "uint8": "u1", "unsigned char": "u1", "ushort": "u2", "uint16": "u2", "unsigned short": "u2", "uint": "u4", "uint32": "u4", "unsigned int": "u4", "uint64": "u8", "short": "i2", "int16": "i2", "int": "i4", "int32": "i4", "int64": "i8", "float": "f4", "double": "f8"}

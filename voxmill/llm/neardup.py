@@ -33,7 +33,7 @@ BANDS, ROWS = 22, 5
 #: Shares of which a link has as many: 100 * intersection >= 80 * union.
 PERCENT = 80
 #: Rounds of leaders, and members of a key whose pairs are all compared; larger keys go by prefixes.
-ROUNDS, FEW = 3, 32
+ROUNDS, FEW = 3, 8
 #: Counters of the prefixes' order; a shingle's rarity is that of all that share its counter.
 COUNTERS = 1 << 16
 #: Members and bytes of sets in a tile, on average, and columns of the matrices that are multiplied at once.

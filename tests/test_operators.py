@@ -300,7 +300,7 @@ def test_learning(spark):
     rows = [(i, i + 1000, float(rng.randrange(1, 50)), float(v := rng.randrange(100)), 10.0, 20.0 + i % 3, 0.3, int(v > 50)) for i in range(300)]
     edges = spark.createDataFrame(rows, "a long, b long, n_pairs double, mean_value double, n_small double, n_large double, log_ratio double, target int")
     for name in ("rf", "lr", "nb", "dc", "ada"):
-        out = learned.predicted(learned.fit(edges, learned.MergeConfig(name, "small")), edges)
+        out = learned.predicted(learned.fit(edges, learned.MergeConfig(name, "plain-small", trees=8, depth=4)), edges)
         assert learned.diagnostics(out, 0.5).first().f_score > 0.8, name
     w = learned.linear_discriminant(edges, ["n_pairs", "mean_value"])
     assert w[1] > 0 and learned.balanced(edges, 20).groupBy("target").count().count() == 2
@@ -314,7 +314,7 @@ def test_iterated_merging(spark):
     vox = volume(spark, cube).withColumn("v", (F.col("label") % 2) * 100)
     features = lambda v: A.edge_features(v, 6)
     target = features(vox).withColumn("target", (F.col("mean_value") > 60).cast("int"))
-    config = learned.MergeConfig("lr", "small", iterations=2)
+    config = learned.MergeConfig("lr", "plain-small", iterations=2)
     out = learned.iterate(vox, features, learned.fit(target, config), config)
     assert out.count() == cube.size and out.select("label").distinct().count() < len(np.unique(cube))
 
@@ -375,7 +375,7 @@ def test_stitched_beyond_any_shift(spark):
 def test_models_by_round_and_samples(spark, tmp_path):
     rows = [(x, y, z, 1 + (x // 3) + 3 * (y // 3), 1 + x // 6) for x in range(12) for y in range(9) for z in range(3)]
     vox = spark.createDataFrame([(*r, 10 * (r[0] % 6 == 5)) for r in rows], "x long, y long, z long, label long, truth long, v long")
-    config = learned.MergeConfig("dc", "small", iterations=2)
+    config = learned.MergeConfig("dc", "plain-small", iterations=2, depth=5)
     features = lambda v: A.edge_features(v, 6)
     out, models = learned.iterate_trained(vox, features, config, path=f"{tmp_path}/m")
     assert 1 <= len(models) <= 2 and out.select("label").distinct().count() < 12
@@ -384,3 +384,33 @@ def test_models_by_round_and_samples(spark, tmp_path):
     assert key(out) == key(again)
     sample = learned.uniform_sample(vox, "truth", 10)
     assert {r.truth: r["count"] for r in sample.groupBy("truth").count().collect()} == {1: 10, 2: 10}
+
+
+def test_feature_sets():
+    from voxmill.operators import features
+
+    assert [len(features.feature_names(x)) for x in ("all", "standard", "medium", "reduced", "small", "minimal")] == [81, 36, 21, 21, 15, 6]
+    assert len(features.feature_names("medium", ecs=True)) == 23 and features.feature_names("all")[:4] == ["size_small", "size_large", "size_overlap", "mean_grayscale"]
+    v = np.random.default_rng(0).normal(size=(3, 9, 11))
+    assert all(features.filtered(v, f).shape == v.shape and np.isfinite(features.filtered(v, f)).all() for f in features._FILTERS)
+    assert features.filtered(np.ones((2, 6, 6)), "var").max() == 0 and features.filtered(np.ones((2, 6, 6)), "blur15") == pytest.approx(np.ones((2, 6, 6)))
+
+
+def test_edge_table_of_two_boxes(spark):
+    """Two boxes that share a plane: every feature by hand; all sets run, whatever the block."""
+    from voxmill.operators import features
+
+    rows = [(x, y, z, 1 if x < 4 else 2, 10.0 * x, 0.5, 0.25) for x in range(10) for y in range(6) for z in range(5)]
+    vox = spark.createDataFrame(rows, "x long, y long, z long, label long, grayscale double, prob_MEM double, prob_ICS double")
+    made = [features.edge_table(vox, "small", block).collect() for block in (3, 16)]
+    r = made[0][0]
+    assert len(made[0]) == len(made[1]) == 1 and [round(v, 9) for v in made[0][0]] == [round(v, 9) for v in made[1][0]]
+    assert (r.size_small, r.size_large, r.size_overlap) == pytest.approx((math.log10(120), math.log10(180), math.log10(60)))
+    assert (r.mean_grayscale, r.mean_prob_MEM, r.dist_cntr_small, r.dist_cntr_large, r.ang_cntr) == pytest.approx((35.0, 0.5, 0.5, 0.5, math.pi))
+    assert (r.conv_overlap, r.labeled_ovlp) == pytest.approx((1.0, 1.0)) and r.rad_std_ovlp > 0 and r.ang_std_ovlp > 0
+    full = features.edge_table(vox, "standard", 16).first()
+    assert len(full) == 38 and full.pca_angle0 == pytest.approx(0, abs=1e-6)
+    assert features.edge_table(vox.limit(0), "minimal", 8).count() == 0
+    stored = blocks.to_blocks(vox, "label", "uint8", 8)
+    b = features.block_borders(stored, 8).first()
+    assert (b.a, b.b, b.n, b.n_a, b.x, b.low_x, b.high_x, b.high_y) == (1, 2, 60, 30, 3.5, 3, 4, 5)

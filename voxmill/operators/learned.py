@@ -12,20 +12,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.operators.agglomerate import agglomerated, merge_percent
-
-#: Columns of an edge by feature set, smaller sets being parts of larger ones.
-FEATURE_SETS = {
-    "minimal": ["n_pairs", "mean_value"],
-    "small": ["n_pairs", "mean_value", "n_small", "n_large"],
-    "reduced": ["n_pairs", "mean_value", "n_small", "n_large", "log_ratio"],
-    "medium": ["n_pairs", "mean_value", "n_small", "n_large", "log_ratio", "cx", "cy", "cz"],
+from voxmill.operators.features import SETS, feature_names
+
+#: Columns of an edge by feature set: the named sets of ``features.edge_table``, and plain ones of ``agglomerate.edge_features``.
+FEATURE_SETS = {name: feature_names(name) for name in SETS} | {
+    "plain-minimal": ["n_pairs", "mean_value"],
+    "plain-small": ["n_pairs", "mean_value", "n_small", "n_large"],
+    "plain": ["n_pairs", "mean_value", "n_small", "n_large", "log_ratio"],
+    "plain-places": ["n_pairs", "mean_value", "n_small", "n_large", "log_ratio", "cx", "cy", "cz"],
 }
 
 
 @dataclass(frozen=True)
 class MergeConfig:
     classifier: str = "rf"
-    features: str = "reduced"
+    features: str = "plain"
     iterations: int = 3
     percent: float = 0.5
     seed: int = 1

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from voxmill.functions import expressions as X
 from voxmill.operators import agglomerate as A
-from voxmill.operators import borders, grid, kernels, labels, learned, metrics, skeleton
+from voxmill.operators import borders, features, grid, kernels, labels, learned, metrics, skeleton
 from voxmill.operators import neighbours as N
 from voxmill.plans import recipes
 from voxmill.sources import blocks, codecs
@@ -328,6 +328,33 @@ def rag_features(spark, sf):
     return rounded(A.edge_features(voxels(spark, sf)), 4)
 
 
+_ALL = f"o(dx, dy, dz) AS (VALUES (0, 0, 0), {_OFF(N.offsets(26, forward=False))})"
+_BORDER = f"""WITH {_G.replace('user_id % 12 AS label', 'user_id AS label')}, {_ALL}, near AS (SELECT g.idx, g.label AS l, h.label AS m FROM g, o, g h WHERE h.x = g.x + dx AND h.y = g.y + dy AND h.z = g.z + dz AND g.label <> 0),
+lab AS (SELECT idx, avg((m <> 0)::INT) AS lab FROM near GROUP BY 1), p AS (SELECT DISTINCT idx, l, m FROM near WHERE m <> 0 AND l <> m),
+q AS (SELECT least(l, m) AS a, greatest(l, m) AS b, l < m AS of_a, x, y, 3 * z AS z, v, lab FROM p JOIN g USING (idx) JOIN lab USING (idx)),
+c AS (SELECT a, b, count(*) AS n, count(*) FILTER (of_a) AS n_a, avg(v) AS v, avg(lab) AS lab, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, avg(x) FILTER (of_a) AS ax, avg(y) FILTER (of_a) AS ay, avg(z) FILTER (of_a) AS az, avg(x) FILTER (NOT of_a) AS bx, avg(y) FILTER (NOT of_a) AS by_, avg(z) FILTER (NOT of_a) AS bz,
+  (max(x) - min(x) + 1) * (max(y) - min(y) + 1) * ((max(z) - min(z)) // 3 + 1) AS box FROM q GROUP BY 1, 2),
+r AS (SELECT a, b, stddev_pop(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz))) AS rad FROM q JOIN c USING (a, b) GROUP BY 1, 2),
+s AS (SELECT label, count(*) AS n FROM g GROUP BY 1),
+d AS (SELECT c.*, rad, i.n AS sa, j.n AS sb, sqrt((ax - cx) * (ax - cx) + (ay - cy) * (ay - cy) + (az - cz) * (az - cz)) AS da, sqrt((bx - cx) * (bx - cx) + (by_ - cy) * (by_ - cy) + (bz - cz) * (bz - cz)) AS db FROM c JOIN r USING (a, b) JOIN s i ON i.label = a JOIN s j ON j.label = b)"""
+
+
+@query(f"""{_BORDER} SELECT a, b, round(log10(least(sa, sb)), 4) AS size_small, round(log10(greatest(sa, sb)), 4) AS size_large, round(log10(n), 4) AS size_overlap, round(v, 4) AS mean_grayscale,
+  round(CASE WHEN sa <= sb THEN da ELSE db END, 4) AS dist_cntr_small, round(CASE WHEN sa <= sb THEN db ELSE da END, 4) AS dist_cntr_large, round(log10(CASE WHEN sa <= sb THEN n_a ELSE n - n_a END), 4) AS size_ovlp_small, round(log10(CASE WHEN sa <= sb THEN n - n_a ELSE n_a END), 4) AS size_ovlp_large,
+  round(lab, 4) AS labeled_ovlp, round(n / box, 4) AS conv_overlap, round(rad, 4) AS rad_std_ovlp FROM d""")
+def frag_features(spark, sf):
+    g = voxels(spark, sf)
+    g = g.select("x", "y", "z", F.col("user_id").alias("label"), F.col("v").alias("grayscale"), F.lit(0.0).alias("prob_MEM"), F.lit(0.0).alias("prob_ICS"))
+    made = features.edge_table(g, "small", 16, (1.0, 1.0, 3.0))
+    return rounded(made.select("a", "b", *[c for c in features.feature_names("small") if c not in ("ang_cntr", "ang_std_ovlp", "mean_prob_MEM", "mean_prob_ICS")]), 4)
+
+
+@query(f"""{_BORDER.replace('3 * z AS z', 'z').replace(') // 3 + 1', ') + 1')}, e AS (SELECT a, b, count(*) AS n, count(*) FILTER (of_a) AS n_a, round(avg(x), 4) AS x, round(avg(y), 4) AS y, round(avg(z), 4) AS z, min(x) AS low_x, max(x) AS high_x, min(y) AS low_y, max(y) AS high_y, min(z) AS low_z, max(z) AS high_z FROM q GROUP BY 1, 2) SELECT * FROM e""")
+def block_borders(spark, sf):
+    stored = blocks.to_blocks(voxels(spark, sf).withColumn("label", F.col("user_id")), "label", "uint16", 16)
+    return rounded(features.block_borders(stored, 16), 4)
+
+
 @query(f"WITH {_G}, o(dx, dy, dz) AS (VALUES {_OFF(N.CUT_STEPS)}), s AS (SELECT x - dx AS x, y - dy AS y, z - dz AS z, label AS ln FROM g, o WHERE label <> 0), h AS (SELECT DISTINCT g.idx FROM g JOIN s ON g.x = s.x AND g.y = s.y AND g.z = s.z WHERE label <> 0 AND label <> ln) SELECT idx, CASE WHEN idx IN (SELECT idx FROM h) THEN 0 ELSE label END AS label FROM g")
 def adjacency_removal(spark, sf):
     return N.adjacency_removed(voxels(spark, sf)).select("idx", F.col("label").cast("long").alias("label"))
@@ -672,7 +699,7 @@ def training_edges(spark, sf):
 def train_eval_rf(spark, sf):
     rows = training_edges(spark, sf)
     fit, held = learned.leave_out(rows.withColumn("part", F.col("a") % 4), "part", [0])
-    return learned.diagnostics(learned.predicted(learned.fit(fit, learned.MergeConfig()), held), 0.5)
+    return learned.diagnostics(learned.predicted(learned.fit(fit, learned.MergeConfig(trees=32, depth=8)), held), 0.5)
 
 
 @query()

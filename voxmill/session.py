@@ -31,11 +31,13 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` if the cluster names one.
 
-    Only a session without that setting (tests, a laptop) gets a folder of this machine.
+    Only a local session without that setting (tests, a laptop) gets a folder of this machine; on a cluster it raises.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if context.getCheckpointDir() is None:
+        if not named and not (context.master.startswith("local[") or context.master == "local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix=f"voxmill-{os.getpid()}-"))
     return named or context.getCheckpointDir()
 

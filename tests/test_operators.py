@@ -414,3 +414,44 @@ def test_edge_table_of_two_boxes(spark):
     stored = blocks.to_blocks(vox, "label", "uint8", 8)
     b = features.block_borders(stored, 8).first()
     assert (b.a, b.b, b.n, b.n_a, b.x, b.low_x, b.high_x, b.high_y) == (1, 2, 60, 30, 3.5, 3, 4, 5)
+
+
+def test_more_codecs(spark):
+    rng = np.random.default_rng(1)
+    for kind in ("u1", "u2", "i2", "u4", "f4"):
+        cube = rng.integers(0, 100, (3, 5, 7)).astype(f"<{kind}")
+        assert (codecs.read_tiff(codecs.write_tiff(cube)) == cube).all() and codecs.read_tiff(codecs.write_tiff(cube)).dtype == cube.dtype
+    cube = rng.integers(0, 9, (4, 4, 4)).astype("<u2")
+    assert (codecs.read_zip(codecs.write_zip(cube), (4, 4, 4), "uint16") == cube).all()
+    assert codecs.constant((2, 3, 4), 7, "uint8").shape == (4, 3, 2) and codecs.constant((2, 3, 4), 7, "uint8").min() == 7
+    vox = spark.createDataFrame([(x, 0, 0, x + 1) for x in range(6)], "x long, y long, z long, label long")
+    stored = blocks.to_blocks(vox, "label", "uint8", 4)
+    files = {r.name: r.content for r in codecs.exported_blocks(stored, "tiff").collect()}
+    assert set(files) == {"x0000_y0000_z0000.tiff", "x0001_y0000_z0000.tiff"} and codecs.read_tiff(bytes(files["x0001_y0000_z0000.tiff"]))[0, 0].tolist() == [5, 6, 0, 0]
+    assert codecs.mask_bytes(stored, (3, 1, 1)) == bytes([1, 1, 0])
+    assert {r.cx for r in blocks.copied(stored, (2, 0, 0)).collect()} == {2, 3}
+
+
+def test_lists_of_thresholds_and_places(spark):
+    from voxmill.functions import expressions as X
+
+    assert X.threshold_list([0.1], (0.3, 0.5, 0.1), [0.99], [0.99]) == ([0.1, 0.3, 0.4, 0.99], [False, False, False, True])
+    for bad in ([1.0], [0.0]):
+        with pytest.raises(ValueError):
+            X.threshold_list(bad, None, [])
+    assert X.logit_thresholds(-2, 2, 3) == pytest.approx([1 / (1 + math.e**2), 0.5, 1 / (1 + math.e**-2)])
+    at = spark.createDataFrame([(1, 2, 3)], "x long, y long, z long")
+    assert at.select(X.voxel_index(F.col("x"), F.col("y"), F.col("z"), (5, 7, 9)).alias("i")).first().i == 1 + 5 * (2 + 7 * 3)
+    kinds = kernels.non_simple_kinds(np.array([[[0, 0, 0], [0, 1, 0], [0, 0, 0]]] * 3))
+    assert kinds.shape == (3, 3, 3) and kinds[0, 1, 1] == 0
+    one = np.zeros((3, 3, 3), int)
+    one[1, 1, 1] = 1
+    assert kernels.non_simple_kinds(one)[1, 1, 1] == 1
+    nodes = spark.createDataFrame([(0, k, 5 * k, 0, 0) for k in range(8)], "tree long, node long, x long, y long, z long")
+    assert [r.x for r in skeleton.downsampled(nodes, 2).orderBy("node").collect()] == [0, 2, 5, 7, 10, 12, 15, 17]
+    edges = spark.createDataFrame([(0, k, k + 1) for k in range(7)], "tree long, src long, dst long")
+    kept = [sorted(map(tuple, skeleton.with_errors(e, 0.5, 3).collect())) for e in (edges, edges.repartition(5))]
+    assert kept[0] == kept[1] and skeleton.with_errors(edges, 0.0).count() == 7 and skeleton.with_errors(edges, 1.0).count() == 0
+    cube = np.array([[[1, 2, 3]]])
+    limited = N.adjacency_limited(volume(spark, cube), spark.createDataFrame([(1,), (2,)], "label long"))
+    assert [(r.a, r.b, r.n_pairs) for r in limited.collect()] == [(1, 2, 1)]

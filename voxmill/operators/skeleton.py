@@ -95,6 +95,7 @@ def per_plane(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def downsampled(nodes: DataFrame, ratio: int) -> DataFrame:
+    """Nodes at their places in a volume of which every ``ratio``-th voxel is kept."""
     return nodes.withColumns({a: F.floor(F.col(a) / ratio).cast("int") for a in "xyz"})
 
 
@@ -119,8 +120,8 @@ def near_nodes(nodes: DataFrame, vox: DataFrame, radius: float, cell: int) -> Da
 
 
 def with_errors(edges: DataFrame, split_share: float, seed: int = 1) -> DataFrame:
-    """A share of the edges taken out at random, by seed, and the components that remain."""
-    kept = edges.where(F.rand(seed) >= split_share)
+    """A share of the edges taken out by a seeded hash, the same on every run, and the components that remain."""
+    kept = edges.where(F.pmod(F.xxhash64(F.lit(seed), "tree", "src", "dst"), F.lit(1 << 20)) >= F.lit(int(split_share * (1 << 20))))
     key = lambda c: F.xxhash64("tree", c)
     found = connected_components(kept.select(key("src").alias("src"), key("dst").alias("dst")))
     return kept.join(found, key("src") == F.col("node")).drop("node")

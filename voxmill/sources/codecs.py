@@ -71,6 +71,95 @@ def write_gipl(cube: np.ndarray, spacing: tuple[float, float, float] = (1.0, 1.0
     return bytes(head) + cube.astype(cube.dtype.newbyteorder(">")).tobytes()
 
 
+#: Tags of a TIFF directory.
+_TIFF = {"width": 256, "height": 257, "bits": 258, "compression": 259, "photometric": 262, "offsets": 273, "samples": 277, "rows": 278, "counts": 279, "format": 339}
+_TIFF_KINDS = {"u": 1, "i": 2, "f": 3}
+
+
+def write_tiff(cube: np.ndarray) -> bytes:
+    """Grey pages, one a plane, uncompressed, little-endian."""
+    code = _TIFF_KINDS[cube.dtype.kind]
+    out, at = [b"II*\0"], 8
+    planes = [p.astype(p.dtype.newbyteorder("<")).tobytes() for p in cube]
+    starts = []
+    for p in planes:
+        starts.append(at)
+        at += len(p) + len(p) % 2
+    out.append(struct.pack("<I", at if planes else 0))
+    out += [p + b"\0" * (len(p) % 2) for p in planes]
+    for k, start in enumerate(starts):
+        values = {"width": cube.shape[2], "height": cube.shape[1], "bits": 8 * cube.dtype.itemsize, "compression": 1, "photometric": 1, "offsets": start, "samples": 1, "rows": cube.shape[1], "counts": len(planes[k]), "format": code}
+        body = b"".join(struct.pack("<HHII", _TIFF[n], 4, 1, v) for n, v in values.items())
+        at += 6 + len(body)
+        out.append(struct.pack("<H", len(values)) + body + struct.pack("<I", at if k + 1 < len(starts) else 0))
+    return b"".join(out)
+
+
+def read_tiff(data: bytes) -> np.ndarray:
+    """Pages of one grey sample, in strips without compression; others raise."""
+    end = {b"II": "<", b"MM": ">"}[data[:2]]
+    at, planes = struct.unpack_from(f"{end}I", data, 4)[0], []
+    while at:
+        count = struct.unpack_from(f"{end}H", data, at)[0]
+        tags = {}
+        for k in range(count):
+            tag, kind, n = struct.unpack_from(f"{end}HHI", data, at + 2 + 12 * k)
+            form = {1: "B", 3: "H", 4: "I"}.get(kind)
+            if form:
+                size = struct.calcsize(form) * n
+                place = at + 10 + 12 * k if size <= 4 else struct.unpack_from(f"{end}I", data, at + 10 + 12 * k)[0]
+                tags[tag] = struct.unpack_from(f"{end}{n}{form}", data, place)
+        if tags.get(_TIFF["compression"], (1,))[0] != 1 or tags.get(_TIFF["samples"], (1,))[0] != 1:
+            raise ValueError("only uncompressed grey pages")
+        kind = {v: k for k, v in _TIFF_KINDS.items()}[tags.get(_TIFF["format"], (1,))[0]]
+        body = b"".join(data[a : a + n] for a, n in zip(tags[_TIFF["offsets"]], tags[_TIFF["counts"]], strict=True))
+        planes.append(np.frombuffer(body, f"{end}{kind}{tags[_TIFF['bits']][0] // 8}").reshape(tags[_TIFF["height"]][0], tags[_TIFF["width"]][0]))
+        at = struct.unpack_from(f"{end}I", data, at + 2 + 12 * count)[0]
+    return np.stack(planes).astype(planes[0].dtype.newbyteorder("<"))
+
+
+def constant(shape: tuple[int, int, int], value: float, dtype: str) -> np.ndarray:
+    """A cube (x, y, z extents) of one value."""
+    return np.full(shape[::-1], value, DTYPES[dtype])
+
+
+def write_zip(cube: np.ndarray, name: str = "cube.raw") -> bytes:
+    """Raw bytes in a zip file."""
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(name, write_raw(cube))
+    return held.getvalue()
+
+
+def read_zip(data: bytes, shape: tuple[int, int, int], dtype: str) -> np.ndarray:
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        return read_raw(z.read(z.namelist()[0]), shape, dtype)
+
+
+ENCODERS = {"raw": write_raw, "nrrd": write_nrrd, "gipl": write_gipl, "tiff": write_tiff, "zip": write_zip}
+
+
+def exported_blocks(blocks: DataFrame, kind: str) -> DataFrame:
+    """``(name, content)``: each stored block as a file of a kind, named by its place; made where the block is."""
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            cubes = [np.frombuffer(r["data"], DTYPES[r["dtype"]]).reshape(r["sz"], r["sy"], r["sx"]) for r in rows]
+            names = ["x{cx:04d}_y{cy:04d}_z{cz:04d}.".format(**r) + kind for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([ENCODERS[kind](c) for c in cubes], pa.binary())], names=["name", "content"])
+
+    return blocks.mapInArrow(run, "name string, content binary")
+
+
+def mask_bytes(chunks: DataFrame, shape: tuple[int, int, int]) -> bytes:
+    """One byte a chunk, 1 where ``(cx, cy, cz)`` is listed, as a raw volume; the list is one row a chunk, not a voxel."""
+    cube = np.zeros(shape[::-1], np.uint8)
+    for r in chunks.select("cx", "cy", "cz").distinct().toLocalIterator():
+        cube[r.cz, r.cy, r.cx] = 1
+    return write_raw(cube)
+
+
 def write_png(plane: np.ndarray) -> bytes:
     """An 8- or 16-bit grey slice."""
     depth = 8 * plane.dtype.itemsize

@@ -72,6 +72,20 @@ def test_op1_odd_rows(spark, monkeypatch):
     assert topk.top_k(df.limit(0), F.col("id") % 50 == 0, 5).count() == 0
 
 
+def test_op1_large_components_cost_their_rows_only():
+    import time
+
+    rng = np.random.default_rng(0)
+    a, b = (np.floor(rng.normal(0, 300, (n, 64))) for n in (300, 2000))
+    a[7, 3], b[11, 3], b[12] = 1e15, -1e18, 1e30
+    began = time.process_time()
+    got = topk.products(a, b)
+    assert time.process_time() - began < 5
+    for i in (0, 7, 299):
+        for k in (0, 11, 12, 1999):
+            assert got[i, k] == max(-(2**63 - 1), min(2**63 - 1, sum(int(x) * int(y) for x, y in zip(a[i], b[k]))))
+
+
 # --- 2
 
 

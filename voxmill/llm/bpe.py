@@ -77,6 +77,7 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of every whole text of ``documents``, as digests; null and empty texts have no ids, repeated rows stay."""
     import public_tokenizers
 
     done = encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)

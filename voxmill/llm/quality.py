@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A machine from labelled rows that aren't held out, ``sample`` at most, chosen by hashed id.
 
     Null labels don't count; of several labels of an id the largest counts; ids or texts that repeat weigh as often as
-    they occur, within the sample. Only the chosen rows' hashed features come to the driver.
+    they occur, within twice the sample in all (rows of the lowest hashed ids first). Only the chosen rows' hashed features come to the driver.
     """
     chosen = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("doc_id is not null and label is not null")
     chosen = chosen.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -163,6 +163,7 @@ def score(df: DataFrame, model: Machine, text_col: str = "text", to: str = "scor
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every whole text of ``documents``, null and empty ones too; repeated rows are scored alike, an empty table has none."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, fit(docs, read_table(spark, sf_dir, "labels"))).select("doc_id", "score")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -29,12 +29,26 @@ _MOST = (1 << 63) - 1
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of integer-valued rows, exactly; beyond the range of a long they stay at its ends."""
-    bound = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, a.shape[1])
-    if bound < _EXACT:
+    """Inner products of integer-valued rows, exactly; beyond the range of a long they stay at its ends.
+
+    Only rows with components too large for exact sums in double precision go through Python integers.
+    """
+    most = [np.abs(x).max(axis=1, initial=0) for x in (a, b)]
+    if most[0].max(initial=0) * most[1].max(initial=0) * max(1, a.shape[1]) < _EXACT:
         return (a @ b.T).astype(np.int64)
-    whole = np.array([[int(x) for x in row] for row in a], dtype=object).reshape(a.shape) @ np.array([[int(x) for x in row] for row in b], dtype=object).reshape(b.shape).T
-    return np.array([[max(-_MOST, min(_MOST, x)) for x in row] for row in whole], dtype=np.int64).reshape(len(a), len(b))
+    limit = np.sqrt(_EXACT / max(1, a.shape[1])) / 2
+    big = [np.flatnonzero(m > limit) for m in most]
+    plain = [np.where((m > limit)[:, None], 0.0, x) for m, x in zip(most, (a, b), strict=True)]
+    out = (plain[0] @ plain[1].T).astype(np.int64)
+    out[big[0]] = _whole(a[big[0]], b)
+    out[:, big[1]] = _whole(a, b[big[1]])
+    return out
+
+
+def _whole(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    rows = [np.array([[int(x) for x in row] for row in m], dtype=object).reshape(m.shape) for m in (a, b)]
+    exact = rows[0] @ rows[1].T
+    return np.array([[max(-_MOST, min(_MOST, x)) for x in row] for row in exact], dtype=np.int64).reshape(len(a), len(b))
 
 
 def tile_best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,6 +137,7 @@ def top_k(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vecto
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best others of every 50th vector of ``embeddings``; odd vectors as in ``top_k``."""
     return top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5).withColumnRenamed("id", "vec_id")
 
 

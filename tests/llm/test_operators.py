@@ -306,6 +306,8 @@ def test_op5_odd_rows(spark):
     rows = quality.score(docs, model).collect()
     assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)
     assert quality.score(docs.limit(0), quality.fit(docs.limit(0), labels.limit(0))).count() == 0
+    long = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(200_000))), (2, "x" * 1_000_000)], "doc_id long, text string")
+    assert all(0 <= r.score <= 1 for r in quality.score(long, model).collect())
 
 
 # --- 6

@@ -113,6 +113,14 @@ def test_op9_packs_any_lengths(spark, bins, monkeypatch):
     assert packing.pack(df.limit(0), capacity=100).count() == 0
 
 
+def test_op9_columns_of_any_name(spark, monkeypatch):
+    monkeypatch.setattr("voxmill.llm.packing.BINS_PER_TASK", 5)
+    df = spark.createDataFrame([(i, i % 7 + 1, "a", "b", None) for i in range(60)], "key long, length long, to string, base string, sequence_id string").repartition(3)
+    rows = packing.pack(df, capacity=10, open_bins=3).collect()
+    assert sorted((r.key, r.length, r.to, r.base) for r in rows) == [(i, i % 7 + 1, "a", "b") for i in range(60)]
+    check_packing(rows, 10)
+
+
 def test_elias_fano_round_trip():
     rng = random.Random(3)
     for values in ([], [0], [5, 5, 5], [-(2**63), 0, 2**63 - 1], sorted(rng.randrange(-(10**9), 10**12) for _ in range(3000)), list(range(1000)), [0] * 999 + [10**15]):

@@ -4,7 +4,9 @@ import io
 import math
 import random
 import zipfile
+from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -455,3 +457,18 @@ def test_lists_of_thresholds_and_places(spark):
     cube = np.array([[[1, 2, 3]]])
     limited = N.adjacency_limited(volume(spark, cube), spark.createDataFrame([(1,), (2,)], "label long"))
     assert [(r.a, r.b, r.n_pairs) for r in limited.collect()] == [(1, 2, 1)]
+
+
+def test_near_nodes_never_broadcasts_copies(spark, tmp_path):
+    """Counts against all pairs, places between voxels too; the copied side must not go to the driver, however small its file."""
+    rng = np.random.default_rng(4)
+    cube = rng.integers(0, 4, (9, 9, 9))
+    volume(spark, cube).write.parquet(f"{tmp_path}/vox")
+    spots = [(k % 3, k, *[float(v) for v in (rng.integers(-4, 40, 3) / 4 if k % 2 else rng.integers(0, 9, 3))]) for k in range(40)]
+    spark.createDataFrame(spots, "tree long, node long, x double, y double, z double").write.parquet(f"{tmp_path}/nodes")
+    vox, nodes = (spark.read.parquet(f"{tmp_path}/{x}") for x in ("vox", "nodes"))
+    for radius, cell in ((2, 4), (3.5, 2)):
+        made = skeleton.near_nodes(nodes, vox, radius, cell)
+        want = Counter((t, n, int(cube[c, b, a])) for t, n, x, y, z in spots for c, b, a in np.argwhere(cube).tolist() if (x - a) ** 2 + (y - b) ** 2 + (z - c) ** 2 <= radius**2)
+        assert {(r.tree, r.node, r.label): r.n_vox for r in made.collect()} == want
+        assert "Broadcast" not in made._jdf.queryExecution().toString()

@@ -108,15 +108,19 @@ def rasterised(nodes: DataFrame, radius: int) -> DataFrame:
 
 
 def near_nodes(nodes: DataFrame, vox: DataFrame, radius: float, cell: int) -> DataFrame:
-    """Labels within ``radius`` of each node: both sides meet by cells, then by exact distance."""
-    reach = int(-(-radius // cell))
-    rows = nodes.select("tree", "node", *[F.col(a).alias(f"n{a}") for a in "xyz"])
+    """Labels within ``radius`` of each node: both sides meet by the node's cell, then by exact distance.
+
+    Voxels go to every cell that they are within ``radius`` of; a node has one place, so its counts are whole there. The
+    sides are sorted and merged: sizes estimated from files don't know of the copies, so a broadcast could be of any size.
+    """
+    rows = nodes.select("tree", "node", *[F.col(a).alias(f"n{a}") for a in "xyz"], *[F.floor(F.col(a) / cell).alias(f"c{a}") for a in "xyz"])
+    side = vox.where("label <> 0").select("x", "y", "z", "label")
     for a in "xyz":
-        own = F.floor(F.col(f"n{a}") / cell)
-        rows = rows.withColumn(f"c{a}", F.explode(F.sequence(own - reach, own + reach)))
-    side = vox.where("label <> 0").withColumns({f"c{a}": F.floor(F.col(a) / cell) for a in "xyz"})
-    far = [(F.col(a) - F.col(f"n{a}")) ** 2 for a in "xyz"]
-    return rows.join(side, ["cx", "cy", "cz"]).where(far[0] + far[1] + far[2] <= radius * radius).groupBy("tree", "node", "label").agg(F.count("*").alias("n_vox"))
+        side = side.withColumn(f"c{a}", F.explode(F.sequence(*[F.floor((F.col(a) + d) / cell) for d in (-radius, radius)])))
+    far = [(F.col(a) - F.col(f"n{a}")) * (F.col(a) - F.col(f"n{a}")) for a in "xyz"]
+    cells = ["cx", "cy", "cz"]
+    met = rows.hint("merge").join(side, cells).where(far[0] + far[1] + far[2] <= radius * radius)
+    return met.groupBy(*cells, "tree", "node", "label").agg(F.count("*").alias("n_vox")).drop(*cells)
 
 
 def with_errors(edges: DataFrame, split_share: float, seed: int = 1) -> DataFrame:

@@ -472,3 +472,16 @@ def test_near_nodes_never_broadcasts_copies(spark, tmp_path):
         want = Counter((t, n, int(cube[c, b, a])) for t, n, x, y, z in spots for c, b, a in np.argwhere(cube).tolist() if (x - a) ** 2 + (y - b) ** 2 + (z - c) ** 2 <= radius**2)
         assert {(r.tree, r.node, r.label): r.n_vox for r in made.collect()} == want
         assert "Broadcast" not in made._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["block_adjacency", "block_borders"])
+def test_stored_labels_of_any_size(spark, tmp_path, name):
+    """User ids beyond 16 and 32 bits, and below 0, are labels as any others."""
+    from voxmill.plans.queries import QUERIES, SQL
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT * REPLACE (CASE event_id % 4 WHEN 0 THEN user_id + 65530 WHEN 1 THEN user_id + 5000000000 WHEN 2 THEN -user_id ELSE 0 END AS user_id) FROM '/root/testdata/sf0.001/events.parquet'")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    made = QUERIES[name](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(made.columns)} FROM ({SQL[name]}) ORDER BY a, b").fetchall()
+    assert [tuple(r) for r in made.orderBy("a", "b").collect()] == [pytest.approx(w, abs=2e-4) for w in want] and want[0][0] < 0

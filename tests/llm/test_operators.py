@@ -439,6 +439,20 @@ def test_op6_odd_rows(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_op6_wide_bands_are_one_key(spark):
+    """A band that very many have is one row each, not one with each band of B, and no pair that shared a key is lost."""
+    rng = np.random.default_rng(6)
+    rows = [(k, [1, 2, 100 + k // 2], rng.choice(20, 6, replace=False).tolist()) for k in range(neardup.WIDE + 20)]
+    marked = spark.createDataFrame(rows, "id long, a array<long>, b array<long>")
+    keyed = neardup._keyed(neardup._widened(marked)).collect()
+    assert len(keyed) == len(rows) * (2 + 6)
+    under = {}
+    for r in keyed:
+        under.setdefault(r.key, set()).add(r.id)
+    met = {(i, j) for ids in under.values() for i in ids for j in ids}
+    assert all((i, j) in met for i, a, b in rows for j, c, d in rows if set(a) & set(c) and set(b) & set(d))
+
+
 def test_op6_hashes():
     assert len(neardup.shingle_set("a b a b", 2)) == 2 and len(neardup.shingle_set("one", 2)) == 1 and len(neardup.shingle_set(" \n", 2)) == 0
     assert set(neardup.shingle_set("A b C", 2)) == set(neardup.shingle_set(" a\tB\x0cc ", 2))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from voxmill.llm.tokens import give_up_cache, rows_of
 from voxmill.operators.graph import connected_components
-from voxmill.session import cut, read_table
+from voxmill.session import cut, read_table, released
 
 #: Bands in each of the two collections, and minhashes in a band.
 BANDS, ROWS = 22, 5
@@ -34,6 +34,8 @@ BANDS, ROWS = 22, 5
 PERCENT = 80
 #: Rounds of leaders, and members of a key whose pairs are all compared; larger keys go by prefixes.
 ROUNDS, FEW = 3, 8
+#: Members of a band of A above which the band itself is one key, instead of a key with each band of B.
+WIDE = 64
 #: Counters of the prefixes' order; a shingle's rarity is that of all that share its counter.
 COUNTERS = 1 << 16
 #: Members and bytes of sets in a tile, on average, and columns of the matrices that are multiplied at once.
@@ -210,10 +212,21 @@ def _busy(rows: DataFrame, hashes: str, to: str) -> DataFrame:
     return single.join(busy, "band", "left_semi").groupBy("id").agg(F.collect_list("band").alias(to))
 
 
+def _widened(marked: DataFrame) -> DataFrame:
+    """``marked`` with ``wide``, the bands of A that more than WIDE have; ``a`` keeps the others."""
+    single = marked.select("id", F.explode("a").alias("band"))
+    many = single.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > WIDE).select("band")
+    wide = single.join(many, "band", "left_semi").groupBy("id").agg(F.collect_list("band").alias("wide"))
+    rows = marked.join(wide, "id", "left").withColumn("wide", F.coalesce("wide", F.array().cast("array<long>")))
+    return rows.withColumn("a", F.array_except("a", "wide"))
+
+
 def _keyed(marked: DataFrame, *more: str) -> DataFrame:
-    """``(key, id, ...)``: a row for each pair of a band of A and one of B."""
+    """``(key, id, ...)``: a row for each pair of a band of A and one of B, and for each wide band of A, whose rows cover
+    those of all its pairs."""
     rows = marked.select("id", *more, "b", F.explode("a").alias("one")).select("id", *more, "one", F.explode("b").alias("two"))
-    return rows.select(F.xxhash64("one", "two").alias("key"), "id", *more)
+    wide = marked.select("id", *more, F.explode("wide").alias("one"))
+    return rows.select(F.xxhash64("one", "two").alias("key"), "id", *more).union(wide.select(F.xxhash64("one").alias("key"), "id", *more))
 
 
 def _with_set(pairs: DataFrame, end: str, sets: DataFrame, to: str) -> DataFrame:
@@ -349,13 +362,14 @@ def _confirmed(own: DataFrame, reps: DataFrame, words: int, percent: int) -> Dat
     part = lambda at: F.slice("bands", at, BANDS)
     a = cut(_busy(reps.select("id", part(1).alias("bands")), "bands", "a"))
     b = _busy(reps.join(a, "id", "left_semi").select("id", part(1 + BANDS).alias("bands")), "bands", "b")
-    marked = cut(a.join(b, "id"))
+    marked = cut(_widened(a.join(b, "id")))
     keyed = _keyed(marked)
     leaders = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("hi")).where("leader < hi").select("key", "leader")
     star = cut(keyed.join(leaders, "key").where("id <> leader").groupBy("id").agg(F.min("leader").alias("other")))
     met = star.select("id").union(leaders.select("leader")).distinct()
     sets = cut(_sets(own, reps.join(met, "id", "left_semi"), words))
     links = cut(_links(star, sets, percent))
+    released(own.sparkSession)
     tried = star.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"))
     if star.isEmpty():
         return links
@@ -381,10 +395,12 @@ def _confirmed(own: DataFrame, reps: DataFrame, words: int, percent: int) -> Dat
         tried = cut(tried.union(star.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"))).distinct())
         rows = classed(rows.drop("members"))
         rows = cut(rows.join(_several(rows, "key"), "key"))
+        released(own.sparkSession)
     pairs = _cross_pairs(rows.where(F.col("members") <= FEW).select("key", "id", "cls"), "key")
     members = cut(rows.where(F.col("members") > FEW).select("id", "cls").distinct())
     if not members.isEmpty():
         more, groups = _by_prefix(members, sets, percent)
+        released(own.sparkSession)
         pairs = pairs.union(more).distinct()
         links = links.union(_tiled(groups, members, sets, percent))
     return links.union(_links(cut(pairs.join(tried, ["id", "other"], "left_anti")), sets, percent))

@@ -485,3 +485,12 @@ def test_stored_labels_of_any_size(spark, tmp_path, name):
     made = QUERIES[name](spark, str(tmp_path))
     want = con.execute(f"SELECT {', '.join(made.columns)} FROM ({SQL[name]}) ORDER BY a, b").fetchall()
     assert [tuple(r) for r in made.orderBy("a", "b").collect()] == [pytest.approx(w, abs=2e-4) for w in want] and want[0][0] < 0
+
+
+def test_edge_table_never_broadcasts_edges(spark, tmp_path):
+    """Joins on edges are merged, however small the file: a few voxels have many border points."""
+    from voxmill.operators import features
+
+    volume(spark, np.random.default_rng(3).integers(0, 20, (4, 4, 4))).selectExpr("*", "0D AS grayscale", "0D AS prob_MEM", "0D AS prob_ICS").write.parquet(f"{tmp_path}/vox")
+    made = features.edge_table(spark.read.parquet(f"{tmp_path}/vox"), "small", 4)
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString() and made.count()
